@@ -17,6 +17,7 @@ BLANK[[32, 9, 10, 11, 12, 13]] = True
 
 _SEED = np.random.default_rng(20240607)
 _BYTE = _SEED.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+_BYTE_LOWER = _BYTE[LOWER]
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
@@ -71,13 +72,13 @@ def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's lower-cased bytes; the same in every process."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """A 64-bit hash of each span's (lower-cased) bytes; the same in every process."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     power, inverse = _power(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[LOWER[data]] * power, out=sums[1:])
+    np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * power, out=sums[1:])
     h = (sums[ends] - sums[starts]) * inverse[starts]
     h ^= (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)

@@ -18,7 +18,6 @@ text, nulls first. No rows: no files.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -32,13 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_path
-from .text import PieceEncoder, pieces, string_bytes
+from .text import pieces, ragged, span_hashes, string_bytes
 
 MAGIC = b"GLTOKENS"
 FOOTER = struct.Struct("<QQQQIII8s")
 BLOCK = 8192
 FILE_IDS = 1 << 26
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 #: Ids that a reader unpacks at a time.
 READ_IDS = 1 << 21
 END_ID = 0
@@ -140,24 +139,66 @@ class TokenFile:
         self.file.close()
 
 
-#: Blanks other than the plain space and the line end. A text that has one is encoded in one piece.
-_RARE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿]")
+BLANK, ALPHA, DIGIT, OTHER, APOSTROPHE, WIDE = range(6)
+_CLASS = np.full(256, OTHER, np.uint8)
+_CLASS[[9, 10, 11, 12, 13, 32]] = BLANK
+_CLASS[48:58], _CLASS[39], _CLASS[128:] = DIGIT, APOSTROPHE, WIDE
+_CLASS[65:91] = _CLASS[97:123] = ALPHA
 
+#: [before, at]: a GPT-2 style split always ends a token between bytes of these classes.
+_CUT = np.zeros((6, 6), bool)
+_CUT[1:, BLANK] = True
+_CUT[ALPHA, [DIGIT, OTHER, APOSTROPHE]] = _CUT[DIGIT, [ALPHA, OTHER, APOSTROPHE]] = _CUT[OTHER, [ALPHA, DIGIT]] = True
 
-def split_at_spaces(text: str) -> list[str]:
-    """Pieces that a GPT-2 style split never joins: it always begins a token at a space between two non-blanks.
+_RARE_LEAD = np.zeros(256, bool)
+_RARE_LEAD[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
+_RARE = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u1680", "\u180e", *map(chr, range(0x2000, 0x2010)), "\u2028", "\u2029", "\u202f", *map(chr, range(0x205F, 0x2065)), "\u3000", "\ufeff")
+_RARE_KEYS = np.array(sorted(int.from_bytes(c.encode().ljust(3, b"\0"), "big") >> 8 * (3 - len(c.encode())) for c in _RARE), np.uint32)
 
-    A piece stands for itself with its space put back in front; the first one, which has none, is marked by a space.
-    """
-    if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _RARE.search(text):
-        return [" " + text]
-    words = text.split(" ")
-    words[0] = " " + words[0]
-    return words
+
+def _rare_documents(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Documents with a blank, or a character that some library takes for one, other than the ASCII blanks."""
+    at = np.flatnonzero(_RARE_LEAD[data])
+    if not len(at):
+        return at
+    x = data[at].astype(np.uint32)
+    size = np.where(x < 0x80, 1, np.where(x < 0xE0, 2, 3))
+    for k in (1, 2):
+        more = size > k
+        x[more] = x[more] << 8 | data[at[more] + k]
+    return np.unique(np.searchsorted(offsets, at[np.isin(x, _RARE_KEYS)], "right") - 1)
 
 
-class LibraryEncoder(PieceEncoder):
-    """The tokenizers library; each piece that isn't remembered goes through it."""
+def split_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts of the pieces, first piece of each document and the end) of texts, for a GPT-2 style split.
+
+    Pieces consist of whole tokens and encode to the same ids alone. They begin where a run of blanks begins, around a
+    run's last blank if that isn't the space, and between ASCII letters, digits and other signs, but not behind an apostrophe (it may
+    begin a contraction) nor beside other characters, whose class isn't looked up. Texts with rare blanks stay whole.
+    """
+    kind = _CLASS[data]
+    cut = np.zeros(len(data), bool)
+    heads = offsets[:-1][offsets[1:] > offsets[:-1]]
+    if len(data):
+        # the last blank of a run is a token of its own if a non-blank follows and it isn't the space
+        last = (kind[:-1] == BLANK) & (kind[1:] != BLANK) & (data[:-1] != 32)
+        last[heads[1:] - 1] = False
+        cut[1:] = _CUT[kind[:-1], kind[1:]] | last
+        cut[:-1] |= last
+    for d in _rare_documents(data, offsets).tolist():
+        cut[offsets[d] : offsets[d + 1]] = False
+    cut[heads] = True
+    starts = np.flatnonzero(cut)
+    return starts, np.searchsorted(starts, offsets)
+
+
+#: Pieces of more bytes aren't remembered; pieces that a worker remembers (some 40 bytes each).
+LONG_PIECE = 256
+REMEMBER = 3_000_000
+
+
+class LibraryEncoder:
+    """The tokenizers library; each piece that isn't remembered (by a 64-bit hash) goes through it."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -166,15 +207,52 @@ class LibraryEncoder(PieceEncoder):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
-        super().__init__(split_at_spaces, self._pieces)
-
-    def _pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids: list[list[int]] = []
-        for k in range(0, len(words), 20_000):
-            part = [w[1:] if w[0] == " " else " " + w for w in words[k : k + 20_000]]
-            ids += [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-        flat = np.fromiter((i for x in ids for i in x), np.int32)
-        return flat, np.cumsum([0, *map(len, ids)])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.ids, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def _library(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        sizes, flat = [0], []
+        for k in range(0, len(texts), 10_000):
+            for x in self.tokenizer.encode_batch_fast([t.decode() for t in texts[k : k + 10_000]], add_special_tokens=False):
+                ids = x.ids
+                flat += ids
+                sizes.append(len(ids))
+        return np.array(flat, np.int32), np.cumsum(sizes)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of the texts."""
+        starts, first = split_points(data, offsets)
+        ends = np.append(starts[1:], len(data))
+        # a piece ends with its document: documents are adjacent, so the next piece's start is its end
+        hashes, at, which = np.unique(span_hashes(data, starts, ends, lower=False), return_index=True, return_inverse=True)
+        if len(self.known) > REMEMBER:
+            self._forget()
+        place = np.searchsorted(self.known, hashes)
+        hit = np.zeros(len(hashes), bool)
+        inside = place < len(self.known)
+        hit[inside] = self.known[place[inside]] == hashes[inside]
+        row = np.empty(len(hashes), np.int64)
+        row[hit] = self.row[place[hit]]
+        text = data.tobytes()
+        new = np.flatnonzero(~hit)
+        ids, ends_of = self._library([text[s:e] for s, e in zip(starts[at[new]].tolist(), ends[at[new]].tolist())])
+        row[new] = len(self.offsets) - 1 + np.arange(len(new))
+        store, store_ends = np.concatenate([self.ids, ids]), np.concatenate([self.offsets, self.offsets[-1] + ends_of[1:]])
+        out, ends_out = ragged(store, store_ends, row[which])
+        keep = new[(ends - starts)[at[new]] <= LONG_PIECE]
+        if len(keep) == len(new):
+            self.ids, self.offsets, kept_row = store, store_ends, row[keep]
+        else:  # long pieces are left out of what is remembered
+            more, more_ends = ragged(store, store_ends, row[keep])
+            kept_row = len(self.offsets) - 1 + np.arange(len(keep))
+            self.ids, self.offsets = np.concatenate([self.ids, more]), np.concatenate([self.offsets, self.offsets[-1] + more_ends[1:]])
+        known = np.concatenate([self.known, hashes[keep]])
+        order = np.argsort(known, kind="stable")
+        self.known, self.row = known[order], np.concatenate([self.row, kept_row])[order]
+        return out, ends_out[first]
 
 
 _encoders: dict[str, LibraryEncoder] = {}
@@ -195,9 +273,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, file_ids: in
         task = TaskContext.get()
         own, out, seq, done = _encoder(tokenizer), None, 0, []
         for batch in batches:
-            _, offsets = string_bytes(batch.column(1))
+            data, offsets = string_bytes(batch.column(1))
             for lo, hi in pieces(offsets, PART_BYTES):
-                ids, ends = own.encode(batch.column(1).slice(lo, hi - lo).fill_null("").to_pylist())
+                ids, ends = own.encode(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 size = np.diff(ends) + 1
                 stops = np.cumsum(size)
                 whole = np.full(int(stops[-1]), END_ID, np.int32)
