@@ -17,17 +17,17 @@ BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 MAX_BITS = 3
 
 
-def block_keys(fp: Column) -> Column:
-    """The array of pigeonhole keys of a 64-bit fingerprint; the triple's number is part of the key."""
+MASKS = [sum(((1 << width) - 1) << low for low, width in kept) for kept in combinations(BLOCKS, len(BLOCKS) - MAX_BITS)]
 
-    def key(number: int, triple: tuple) -> Column:
-        out = F.lit(number).cast("long")
-        for low, width in triple:
-            part = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-            out = F.shiftleft(out, width).bitwiseOR(part)
-        return out
 
-    return F.array(*(key(i, t) for i, t in enumerate(combinations(BLOCKS, len(BLOCKS) - MAX_BITS))))
+def block_keys(items: DataFrame) -> DataFrame:
+    """``items`` once per triple of blocks, with the triple and its bits hashed into ``key``.
+
+    Equal blocks give equal keys; other rows that get the same key are dropped when distances are verified.
+    """
+    masks = F.array(*(F.lit(m - (1 << 64) * (m >> 63)).cast("long") for m in MASKS))
+    each = items.select("*", F.explode(masks).alias("mask"))
+    return each.withColumn("key", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask")))).drop("mask")
 
 
 def components(edges: DataFrame, label: str = "cc") -> DataFrame:
@@ -66,27 +66,32 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
 
 
 def near_components(
-    items: DataFrame, verify: Callable[[DataFrame], DataFrame] | None = None, label: str = "near"
+    keyed: DataFrame,
+    near: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
+    verify: Callable[[DataFrame], DataFrame] | None = None,
+    label: str = "near",
 ) -> DataFrame:
-    """Components of ``items(id, fp)`` under the link "at most MAX_BITS differing bits, and ``verify``".
+    """Components of the rows (id, key, ...) that link: they share a key, and ``near`` and ``verify`` hold.
 
-    ``id`` must be unique and hash-like. ``verify`` takes candidate rows (a, b) and returns those that hold.
-    Returns (id, root) for the ids that have a link.
+    A row per item and key; ``id`` must be unique to an item and hash-like. ``near`` makes a condition on the other columns
+    of two rows (it gets two functions from a name to a column). ``verify`` takes candidates (a, b) and returns those that
+    hold. Returns (id, root) for the ids that have a link.
 
     Exact, yet without all pairs of a crowded bucket: first every row of a bucket is compared with the bucket's
     least row only, and components are formed; a link that this misses joins two different components, so
     at least one of its ends is outside the bucket's largest component. Those rows, and only those,
     are then compared with all rows of their bucket that belong to another component.
     """
-    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= MAX_BITS
     check = verify or (lambda pairs: pairs)
-    keyed = items.select("id", "fp", F.explode(block_keys(F.col("fp"))).alias("key"))
+    payload = [c for c in keyed.columns if c not in ("id", "key")]
+    close = near(lambda c: F.col(c), lambda c: F.col("other")[c]) if near else F.lit(True)
     shared = materialize(keyed.groupBy("key").count().where("count > 1").select("key"), f"{label}-keys")
     rows = materialize(key_prefilter(keyed, "key", shared).join(shared, "key", "left_semi"), f"{label}-rows")
 
-    least = rows.groupBy("key").agg(F.min(F.struct("id", "fp")).alias("c")).select("key", F.col("c.id").alias("b"), F.col("c.fp").alias("cfp"))
-    stars = rows.join(least, "key").where((F.col("id") != F.col("b")) & near("fp", "cfp"))
-    first = materialize(check(stars.select(F.col("id").alias("a"), "b").distinct()), f"{label}-stars")
+    other = F.struct("id", *payload)
+    least = rows.groupBy("key").agg(F.min(other).alias("other"))
+    stars = rows.join(least, "key").where((F.col("id") != F.col("other.id")) & close)
+    first = materialize(check(stars.select(F.col("id").alias("a"), F.col("other.id").alias("b")).distinct()), f"{label}-stars")
 
     placed = rows.join(components(first, f"{label}-1").withColumnRenamed("root", "comp"), "id", "left")
     placed = materialize(placed.withColumn("comp", F.coalesce("comp", "id")), f"{label}-placed")
@@ -94,8 +99,12 @@ def near_components(
     mixed = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     mixed = materialize(mixed.select("key", "largest"), f"{label}-mixed")
     crossed = placed.join(mixed, "key")
-    outside = crossed.where("comp <> largest").select("key", F.col("id").alias("a"), F.col("fp").alias("afp"), F.col("comp").alias("acomp"))
-    rest = outside.join(crossed.drop("largest"), "key").where((F.col("acomp") != F.col("comp")) & near("afp", "fp"))
-    pairs = rest.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+    outside = crossed.where("comp <> largest").select("key", F.struct("id", "comp", *payload).alias("other"))
+    rest = outside.join(crossed.drop("largest"), "key").where((F.col("other.comp") != F.col("comp")) & close)
+    pairs = rest.select(F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b")).distinct()
     second = materialize(check(pairs), f"{label}-rest")
     return components(first.select("a", "b").unionByName(second.select("a", "b")), f"{label}-2")
+
+
+def within_bits(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    return F.bit_count(a("fp").bitwiseXOR(b("fp"))) <= MAX_BITS
