@@ -5,14 +5,22 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import formula
 
-REF = "struct<kind:string,sheet:string,r0:int,c0:int,r1:int,c1:int,name:string>"
-COMPILED = f"struct<r1c1:string,refs:array<{REF}>,error_kind:string,error_msg:string>"
-_REF = pa.struct([("kind", pa.string()), ("sheet", pa.string()), *((n, pa.int32()) for n in ("r0", "c0", "r1", "c1")), ("name", pa.string())])
-_COMPILED = pa.struct([("r1c1", pa.string()), ("refs", pa.list_(_REF)), ("error_kind", pa.string()), ("error_msg", pa.string())])
-_REF_NAMES = [f.name for f in _REF]
+_TEXT, _INT, _REAL = T.StringType(), T.IntegerType(), T.DoubleType()
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+
+
+REF = _struct(kind=_TEXT, sheet=_TEXT, r0=_INT, c0=_INT, r1=_INT, c1=_INT, name=_TEXT)
+COMPILED = _struct(r1c1=_TEXT, refs=T.ArrayType(REF), error_kind=_TEXT, error_msg=_TEXT)
+_COMPILED = to_arrow_type(COMPILED)
+_REF_NAMES = REF.names
 
 
 @F.arrow_udf(COMPILED)
@@ -32,7 +40,7 @@ def compile_formula(text, sheet, row, col) -> Column:
     return _compile(text, sheet, row, col)
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(_REAL)
 def similarity(a: pa.Array, b: pa.Array) -> pa.Array:
     known: dict = {}
     out = []
@@ -46,8 +54,8 @@ def similarity(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, pa.float64())
 
 
-SHIFT = "struct<axis:string,end:string,expected:int,found:int>"
-_SHIFT = pa.struct([("axis", pa.string()), ("end", pa.string()), ("expected", pa.int32()), ("found", pa.int32())])
+SHIFT = _struct(axis=_TEXT, end=_TEXT, expected=_INT, found=_INT)
+_SHIFT = to_arrow_type(SHIFT)
 
 
 @F.arrow_udf(SHIFT)
@@ -57,8 +65,8 @@ def boundary_shift(pattern: pa.Array, other: pa.Array) -> pa.Array:
 
 
 _DRIFT_NAMES = ("axis", "target", "expected_style", "expected", "found_style", "found")
-DRIFT = f"array<struct<{','.join(f'{n}:string' for n in _DRIFT_NAMES)}>>"
-_DRIFT = pa.list_(pa.struct([(n, pa.string()) for n in _DRIFT_NAMES]))
+DRIFT = T.ArrayType(_struct(**dict.fromkeys(_DRIFT_NAMES, _TEXT)))
+_DRIFT = to_arrow_type(DRIFT)
 
 
 @F.arrow_udf(DRIFT)
@@ -70,7 +78,7 @@ def anchoring_drift(pattern: pa.Array, other: pa.Array, row: pa.Array, col: pa.A
     return pa.array(out, _DRIFT)
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(_TEXT)
 def number_display(x: pa.Array) -> pa.Array:
     """Thousands separators and Python's shortest digits, for numbers that aren't whole."""
     return pa.array([None if v is None else f"{v:,}" for v in x.to_pylist()], pa.string())

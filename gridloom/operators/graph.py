@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import columns as C
 from ..functions.formula import FormulaError, parse, references
@@ -16,11 +19,12 @@ MAX_EXPAND = 1_000_000
 CELL = ["sheet", "row", "col"]
 
 
-@F.arrow_udf("struct<kind:string,sheet:string,r0:int,c0:int,r1:int,c1:int,problem:string>")
-def _target(text):
-    import pyarrow as pa
+_TARGET = T.StructType([T.StructField(n, T.IntegerType() if n in ("r0", "c0", "r1", "c1") else T.StringType()) for n in ("kind", "sheet", "r0", "c0", "r1", "c1", "problem")])
 
-    names = ("kind", "sheet", "r0", "c0", "r1", "c1", "problem")
+
+@F.arrow_udf(_TARGET)
+def _target(text: pa.Array) -> pa.Array:
+    names = _TARGET.names
     out = []
     for t in text.to_pylist():
         row: dict = dict.fromkeys(names)
@@ -33,7 +37,7 @@ def _target(text):
         except FormulaError as e:
             row["problem"] = f"its target can't be parsed: {e}"
         out.append(row)
-    return pa.array(out, pa.struct([(n, pa.int32() if n in ("r0", "c0", "r1", "c1") else pa.string()) for n in names]))
+    return pa.array(out, to_arrow_type(_TARGET))
 
 
 def references_of(compiled: DataFrame) -> DataFrame:

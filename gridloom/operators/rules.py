@@ -31,10 +31,12 @@ class Analysis:
 
 
 def analyze(cells: DataFrame, named: DataFrame | None = None, min_cells: int = B.MIN_CELLS, near_miss: float = B.NEAR_MISS) -> Analysis:
-    compiled = K.compiled(cells)
-    found = B.blocks(compiled, min_cells)
+    """Formulas are parsed once: the compiled cells, the blocks and the neighbours are kept (on disk where memory is short)
+    for the rules that read them; what is lost with an executor is computed again."""
+    compiled = K.compiled(cells).persist()
+    found = B.blocks(compiled, min_cells).persist()
     rectangles, unresolved = G.resolved(G.references_of(compiled), named)
-    return Analysis(compiled, found, B.neighbors(found, near_miss), rectangles, unresolved)
+    return Analysis(compiled, found, B.neighbors(found, near_miss).persist(), rectangles, unresolved)
 
 
 def _sighted(rows: DataFrame, *more: str) -> DataFrame:
