@@ -11,22 +11,25 @@ from pyspark.sql import functions as F
 
 from .common import key_prefilter, materialize
 
-#: 64 bits in six blocks. Two fingerprints that differ in at most three bits agree on at least three of the
-#: blocks, so they meet under one of the 20 triples; a triple's key has 32 bits or more.
-BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
-MAX_BITS = 3
+def blocks_of(bits: int) -> tuple[tuple[int, int], ...]:
+    """(first bit, width) of twice as many blocks of 64 bits as may differ: half of them agree, with 32 bits in all."""
+    n = 2 * bits
+    edges = [64 * k // n for k in range(n + 1)]
+    return tuple((a, b - a) for a, b in zip(edges, edges[1:]))
 
 
-MASKS = [sum(((1 << width) - 1) << low for low, width in kept) for kept in combinations(BLOCKS, len(BLOCKS) - MAX_BITS)]
+def masks(bits: int) -> list[int]:
+    """A mask per choice of half of the blocks: two fingerprints that differ in at most ``bits`` bits agree under one."""
+    return [sum(((1 << width) - 1) << low for low, width in kept) for kept in combinations(blocks_of(bits), bits)]
 
 
-def block_keys(items: DataFrame) -> DataFrame:
-    """``items`` once per triple of blocks, with the triple and its bits hashed into ``key``.
+def block_keys(items: DataFrame, bits: int) -> DataFrame:
+    """``items`` once per choice of blocks, with the choice and its bits hashed into ``key``.
 
     Equal blocks give equal keys; other rows that get the same key are dropped when distances are verified.
     """
-    masks = F.array(*(F.lit(m - (1 << 64) * (m >> 63)).cast("long") for m in MASKS))
-    each = items.select("*", F.explode(masks).alias("mask"))
+    listed = F.array(*(F.lit(m - (1 << 64) * (m >> 63)).cast("long") for m in masks(bits)))
+    each = items.select("*", F.explode(listed).alias("mask"))
     return each.withColumn("key", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask")))).drop("mask")
 
 
@@ -77,8 +80,8 @@ def near_components(
     of two rows (it gets two functions from a name to a column). ``verify`` takes candidates (a, b) and returns those that
     hold. Returns (id, root) for the ids that have a link.
 
-    Exact, yet without all pairs of a crowded bucket: first every row of a bucket is compared with the bucket's
-    least row only, and components are formed; a link that this misses joins two different components, so
+    Exact, yet without all pairs of a crowded bucket: first an item is compared only with the least of the least rows of
+    its buckets, and components are formed; a link that this misses joins two different components, so
     at least one of its ends is outside the bucket's largest component. Those rows, and only those,
     are then compared with all rows of their bucket that belong to another component.
     """
@@ -91,7 +94,7 @@ def near_components(
     other = F.struct("id", *payload)
     least = rows.groupBy("key").agg(F.min(other).alias("other"))
     stars = rows.join(least, "key").where((F.col("id") != F.col("other.id")) & close)
-    first = materialize(check(stars.select(F.col("id").alias("a"), F.col("other.id").alias("b")).distinct()), f"{label}-stars")
+    first = materialize(check(stars.groupBy(F.col("id").alias("a")).agg(F.min("other.id").alias("b"))), f"{label}-stars")
 
     placed = rows.join(components(first, f"{label}-1").withColumnRenamed("root", "comp"), "id", "left")
     placed = materialize(placed.withColumn("comp", F.coalesce("comp", "id")), f"{label}-placed")
@@ -102,9 +105,12 @@ def near_components(
     outside = crossed.where("comp <> largest").select("key", F.struct("id", "comp", *payload).alias("other"))
     rest = outside.join(crossed.drop("largest"), "key").where((F.col("other.comp") != F.col("comp")) & close)
     pairs = rest.select(F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b")).distinct()
+    pairs = materialize(pairs, f"{label}-pairs")
+    if pairs.isEmpty():
+        return components(first, f"{label}-2")
     second = materialize(check(pairs), f"{label}-rest")
     return components(first.select("a", "b").unionByName(second.select("a", "b")), f"{label}-2")
 
 
-def within_bits(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
-    return F.bit_count(a("fp").bitwiseXOR(b("fp"))) <= MAX_BITS
+def within(bits: int) -> Callable[[Callable[[str], Column], Callable[[str], Column]], Column]:
+    return lambda a, b: F.bit_count(a("fp").bitwiseXOR(b("fp"))) <= bits

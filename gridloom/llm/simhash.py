@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fresh, materialize
-from .linking import block_keys, near_components, within_bits
-from .text import BLANK, LOWER, pieces, spans, string_bytes
+from .linking import block_keys, near_components, within
+from .text import BLANK, LOWER, pieces, release, spans, string_bytes
 
 #: Words in a shingle for near-duplicate work where nothing else is asked for.
 SHINGLE = 5
+#: Differing bits of 64 within which fingerprints link.
+MAX_BITS = 3
 PIECE_BYTES = 4 << 20
 #: Shingles whose bits are counted at a time.
 COUNT_ROWS = 1 << 16
@@ -104,7 +106,7 @@ def classes(prints: DataFrame) -> DataFrame:
     each = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     # xxhash64 is a bijection of a long under one seed, so ids stay unique and are in random order
     items = each.select(F.xxhash64("fp").alias("id"), "fp")
-    roots = near_components(block_keys(items), within_bits, label="simhash")
+    roots = near_components(block_keys(items, MAX_BITS), within(MAX_BITS), label="simhash")
     placed = each.withColumn("id", F.xxhash64("fp")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = placed.where(F.col("root") != F.col("id")).groupBy("root").agg(F.min("least").alias("other"))
     # only linked fingerprints need the second join; hubs are combined before the shuffle
@@ -161,6 +163,7 @@ def wide_fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
                 listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys).view(np.int64)))
                 longs = [pa.array(np.ascontiguousarray(prints[:, k]).view(np.int64)) for k in range(WIDE)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), *longs, listed], names=["uid", "doc_id", *WORDS, "blocks"])
+        release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("uid", "doc_id", "text").mapInArrow(make, f"uid long, doc_id {kind}, {', '.join(f'{w} long' for w in WORDS)}, blocks array<long>")
