@@ -83,7 +83,7 @@ def labelled_entries(labelled: DataFrame) -> list[str]:
 def readiness(labelled: DataFrame, parts: DataFrame, floor: int = FLOOR) -> DataFrame:
     """Per label, zero-filled: n, patterns, train, val, test, ready."""
     spark = labelled.sparkSession
-    rows = labelled.where("label IS NOT NULL").join(F.broadcast(parts), "workbook", "left")
+    rows = labelled.where("label IS NOT NULL").join(parts, "workbook", "left")
     counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("pattern").alias("patterns"), *(F.count(F.when(F.col("part") == p, 1)).alias(p) for p in ("train", "val", "test")))
     every = spark.createDataFrame([(x,) for x in LABELS], "label string")
     out = F.broadcast(every).join(counts, "label", "left").fillna(0)

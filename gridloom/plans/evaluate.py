@@ -50,7 +50,7 @@ def labelled_blocks(cells: DataFrame, truth: DataFrame) -> DataFrame:
     """Examples with labels, from ground truth."""
     a = R.analyze(cells)
     shapes = truth.select(F.col("entry").alias("workbook"), F.col("base_shape").alias("true_shape")).distinct()
-    seen = labeling.examples(a.blocks.join(F.broadcast(shapes), "workbook", "left"), a.neighbors, F.col("true_shape"))
+    seen = labeling.examples(a.blocks.join(shapes, "workbook", "left"), a.neighbors, F.col("true_shape"))
     return seen.join(labeling.labels(a.blocks, a.neighbors, truth, R.issues(a)), ["workbook", "sheet", "sheet_idx", "row", "c0", "c1", "span", "pattern"])
 
 
