@@ -18,7 +18,8 @@ NEAR_MISS = 85.0
 ROW = ["workbook", "sheet", "row"]
 BLOCK = ["workbook", "sheet", "sheet_idx", "row", "c0", "c1", "span", "pattern"]
 
-_SEEN = ["col", "pattern", "parse_error", "empty", "display"]
+_VALUE = ["value_type", "value_num", "value_str", "value_bool", "value_ts"]
+_SEEN = ["col", "pattern", "parse_error", "empty", *_VALUE]
 
 
 def runs(compiled: DataFrame) -> DataFrame:
@@ -32,7 +33,7 @@ def runs(compiled: DataFrame) -> DataFrame:
 
 def blocks(compiled: DataFrame, min_cells: int = MIN_CELLS) -> DataFrame:
     """BLOCK columns, n_cells, row_label, and ``left`` and ``right``: the cells beside the block, if there are any."""
-    shown = compiled.withColumn("display", C.display(F.col)).withColumn("seen", F.struct(*_SEEN))
+    shown = compiled.withColumn("seen", F.struct(*_SEEN))
     w = Window.partitionBy(*ROW).orderBy("col")
     beside = runs(shown).withColumns({"left": F.lag("seen").over(w), "right": F.lead("seen").over(w)})
     label = F.max(F.when((F.col("col") == 1) & F.col("formula").isNull(), literal_text(F.col("value_str")))).over(Window.partitionBy(*ROW))
@@ -65,7 +66,8 @@ def neighbors(found: DataFrame, near_miss: float = NEAR_MISS) -> DataFrame:
         .otherwise("literal")
     )
     cell = C.qualified(F.col("sheet"), F.col("row"), F.col("n_col"))
-    return each.withColumn("similarity", like).withColumn("kind", kind).withColumn("cell", cell)
+    out = each.withColumn("similarity", like).withColumn("kind", kind).withColumn("cell", cell)
+    return out.withColumn("n_display", C.display(lambda c: F.col(f"n_{c}"))).drop(*(f"n_{c}" for c in _VALUE))
 
 
 def column_labels(found: DataFrame, cells: DataFrame) -> DataFrame:
