@@ -14,28 +14,41 @@ from gridloom.llm import bpe, decontaminate, exact_dedup, language_id, simhash
 from gridloom.llm.common import materialize, table
 
 
+#: Rows in an Arrow batch: whole texts pass through several processes of an executor at once.
+BATCH_ROWS = 1000
+
+
+def _lean(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents whose text is in no language (null, empty, no letters)."""
+    _lean(spark)
     return language_id.keep_identified(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that is equal but for blanks: the longest, then the least doc_id."""
+    _lean(spark)
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The least doc_id of each component of five-word SimHash fingerprints at three or fewer differing bits."""
+    _lean(spark)
     return simhash.drop_near_duplicates(docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold ten consecutive words of a benchmark item, or all of a shorter item."""
+    _lean(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids as little-endian unsigned 32-bit integers."""
+    _lean(spark)
     rows = docs.select("doc_id", "lang", "source", "text")
     return bpe.encode(rows, public_tokenizers.path("byte_bpe_50k.tiktoken")).select("doc_id", "lang", "source", "n_tokens", "ids")
 

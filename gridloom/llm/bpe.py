@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import PieceEncoder, pieces, ragged, string_bytes
+from .text import PieceEncoder, gathered, pieces, ragged, release, string_bytes
 
 NONE = 1 << 30
 #: Bytes of text that are encoded at a time.
-PART_BYTES = 12 << 20
+PART_BYTES = 6 << 20
 
 
 class RankBitmap:
@@ -74,15 +74,15 @@ class Vocabulary:
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
-        self.pairs: dict[int, int] = {}
+        found = []
         for token, rank in self.ranks.items():
             for k in range(1, len(token)):
                 a, b = self.ranks.get(token[:k]), self.ranks.get(token[k:])
                 if a is not None and b is not None:
-                    self.pairs[a << 18 | b] = rank
-        keys = np.fromiter(self.pairs, np.int64, len(self.pairs))
-        order = np.argsort(keys)
-        self.keys, self.merged = keys[order], np.fromiter(self.pairs.values(), np.int32, len(self.pairs))[order]
+                    found.append((a << 18 | b, rank))
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        order = np.argsort(pairs[:, 0])
+        self.keys, self.merged = pairs[order, 0], pairs[order, 1].astype(np.int32)
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.size = np.array([len(t) for t in self.tokens], np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.size)])
@@ -98,14 +98,14 @@ class Vocabulary:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        token, n, pairs = self.byte[np.frombuffer(piece, np.uint8)].tolist(), len(piece), self.pairs
+        token, n, tokens = self.byte[np.frombuffer(piece, np.uint8)].tolist(), len(piece), self.tokens
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         rank_at = [NONE] * n
         bitmap, buckets = RankBitmap(), {}
 
         def push(p: int) -> None:
             q = after[p]
-            rank_at[p] = r = pairs.get(token[p] << 18 | token[q], NONE) if q < n else NONE
+            rank_at[p] = r = self.ranks.get(tokens[token[p]] + tokens[token[q]], NONE) if q < n else NONE
             if r != NONE:
                 if r not in buckets:
                     buckets[r] = []
@@ -270,7 +270,7 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
-        for batch in batches:
+        for batch in gathered(batches, PART_BYTES):
             column = batch.column(len(rest))
             _, offsets = string_bytes(column)
             for lo, hi in pieces(offsets, PART_BYTES):
@@ -279,6 +279,8 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
                 if decoded:
                     out.append(_binary(*own.decode(found, ends)))
                 yield pa.RecordBatch.from_arrays([c.cast(pa.binary()) if pa.types.is_large_binary(c.type) and len(c) and c.nbytes < 1 << 30 else c for c in out], names=schema.names)
+        own.forget()
+        release()
 
     return docs.select(*rest, "text").mapInArrow(run, schema)
 

@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import LOWER, pieces, span_hashes, spans, string_bytes
+from .text import LOWER, pieces, release, span_hashes, spans, string_bytes
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
 #: Bytes of text that are split into words at a time; suffixes that are sorted at a time.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 SHARD_SUFFIXES = 1 << 20
 
 #: Letters of [^\x00-\x2F\x3A-\x60\x7B-\x7F] after lower-casing: digits, a-z and every byte from 0x80.
@@ -217,14 +217,14 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` (any columns) without the rows that hold a window of the benchmark."""
     blocks = Benchmark(benchmark, window)
-    at = docs.columns.index("text")
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            clean = np.concatenate([n_hit == 0 for _, _, _, n_hit, _, _ in _scan(batch.column(at), blocks)] or [np.zeros(0, bool)])
-            yield batch.filter(pa.array(clean))
+    @F.arrow_udf("boolean")
+    def clean(text: pa.Array) -> pa.Array:
+        found = np.concatenate([n_hit == 0 for _, _, _, n_hit, _, _ in _scan(text, blocks)] or [np.zeros(0, bool)])
+        release()
+        return pa.array(found)
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.where(clean("text"))
 
 
 def digests(rows: DataFrame) -> DataFrame:

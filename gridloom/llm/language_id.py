@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fold
-from .text import LOWER, pieces, span_hashes, spans, string_bytes
+from .text import LOWER, pieces, release, span_hashes, spans, string_bytes
 
 MODEL_BUCKETS = 1 << 16
 MAX_LANGUAGES = 256
@@ -147,6 +147,7 @@ def learn(docs: DataFrame) -> Model:
                     mine = inside & np.repeat(names == name, np.diff(at))
                     sums.setdefault(name, np.zeros(MODEL_BUCKETS, np.int64))
                     sums[name] += np.bincount(grams[mine], minlength=MODEL_BUCKETS)
+        release()
         for name, n in sums.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "gram", "n"])
@@ -212,14 +213,14 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     """``docs`` (any columns) without the texts that are in no learned language (``und``)."""
     model = learn(docs.select("lang", "text", (fold(F.col("doc_id"), 4) == 2).alias("out")).where("NOT out"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(at)
-            data, offsets = string_bytes(column)
-            for lo, hi in pieces(offsets, PIECE_BYTES):
-                pred = _columns(shared.value, column.slice(lo, hi - lo), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])[0]
-                yield batch.slice(lo, hi - lo).filter(pa.array([p != "und" for p in pred.to_pylist()], pa.bool_()))
+    @F.arrow_udf("boolean")
+    def known(text: pa.Array) -> pa.Array:
+        data, offsets = string_bytes(text)
+        out = []
+        for lo, hi in pieces(offsets, PIECE_BYTES):
+            out += _columns(shared.value, text.slice(lo, hi - lo), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])[0].to_pylist()
+        release()
+        return pa.array([p != "und" for p in out], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(known("text"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,31 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["p"][:n], _powers["i"][:n]
 
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library: nothing to trim
+    _libc = None
+
+
+def release() -> None:
+    """Hands freed memory back to the system: workers outlive a task, and others need it."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of ``size`` bytes or more."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column, nulls as empty texts. No copy but for nulls."""
     if isinstance(column, pa.ChunkedArray):
@@ -96,8 +122,8 @@ def ragged(values: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> tuple[np.
     return values[shift], ends
 
 
-#: Pieces that a worker remembers from one call to the next (some 100 MB).
-REMEMBER = 400_000
+#: Pieces that a worker remembers from one call to the next (some 50 MB).
+REMEMBER = 200_000
 
 
 class PieceEncoder:
@@ -105,6 +131,9 @@ class PieceEncoder:
 
     def __init__(self, split: Callable[[str], list[str]], encode_pieces: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
         self.split, self.encode_pieces = split, encode_pieces
+        self.forget()
+
+    def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.ids, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
@@ -129,10 +158,10 @@ class PieceEncoder:
         out, ends = ragged(self.ids, self.offsets, at)
         result = out, ends[np.cumsum([0, *map(len, found)])]
         if len(number) > REMEMBER:
-            self._forget(np.unique(at)[-REMEMBER:])
+            self._keep(np.unique(at)[-REMEMBER:])
         return result
 
-    def _forget(self, used: np.ndarray) -> None:
+    def _keep(self, used: np.ndarray) -> None:
         names = list(self.number)
         self.ids, self.offsets = ragged(self.ids, self.offsets, used)
         self.number = {names[k]: i for i, k in enumerate(used.tolist())}
