@@ -61,21 +61,38 @@ def key_prefilter(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     ``wanted`` becomes a one-hash bitmap of fixed size, so the broadcast side has a proven bound; false
     positives are for the caller's exact join to drop. Once the bitmap fills up it merely stops helping.
     """
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(PREFILTER_BITS))
-    bits = (
-        wanted.select(slot(F.col(key)).alias("s"))
-        .groupBy((F.col("s") / 64).cast("long").alias("_pf_word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("_pf_bits"))
-    )
     return (
-        rows.withColumn("_pf_slot", slot(F.col(key)))
+        rows.withColumn("_pf_slot", _slot(F.col(key)))
         .withColumn("_pf_word", (F.col("_pf_slot") / 64).cast("long"))
-        .join(F.broadcast(bits), "_pf_word")
+        .join(F.broadcast(_bitmap(wanted, key)), "_pf_word")
         .where(F.expr("(shiftright(_pf_bits, cast(_pf_slot % 64 as int)) & 1L) = 1L"))
         .drop("_pf_slot", "_pf_word", "_pf_bits")
     )
 
 
+def _slot(c: Column) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(PREFILTER_BITS))
+
+
+def _bitmap(keys: DataFrame, key: str) -> DataFrame:
+    """The set bits of ``keys[key]``: (_pf_word, _pf_bits), at most PREFILTER_BITS / 64 rows."""
+    slots = keys.select(_slot(F.col(key)).alias("s"))
+    return slots.groupBy((F.col("s") / 64).cast("long").alias("_pf_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("_pf_bits"))
+
+
+def without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """``rows`` whose key isn't in ``gone[key]``, with a shuffle only of the rows that may go.
+
+    The bitmap (of fixed size) tells which rows certainly stay: they are never moved, whatever their size.
+    The others are few unless most rows go, and an exact join decides on them.
+    """
+    marked = rows.withColumn("_pf_slot", _slot(F.col(key))).withColumn("_pf_word", (F.col("_pf_slot") / 64).cast("long"))
+    marked = marked.join(F.broadcast(_bitmap(gone, key)), "_pf_word", "left")
+    may_go = F.coalesce(F.expr("(shiftright(_pf_bits, cast(_pf_slot % 64 as int)) & 1L) = 1L"), F.lit(False))
+    stay = marked.where(~may_go).select(*rows.columns)
+    return stay.unionByName(marked.where(may_go).select(*rows.columns).join(gone.select(key), key, "left_anti").select(*rows.columns))
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n. A null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize
-from .text import string_bytes
+from .common import fresh, materialize, without
+from .text import release, string_bytes
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -162,6 +162,7 @@ def _digest_rows(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(found, pa.binary()), pa.array(_code_points(data, offsets))], ["doc_id", "uid", "digest", "length"]
             )
+        release()
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), "text")
     return slim.mapInArrow(digest, "doc_id long, uid long, digest binary, length long")
@@ -204,9 +205,10 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` (any columns) with one row of each group of equal texts."""
     (uid,) = fresh(docs.columns, "uid")
-    rows = _digest_rows(docs)
-    keep = materialize(_groups(rows).select(F.col("keep_uid").alias(uid)), "kept")
-    return docs.withColumn(uid, F.monotonically_increasing_id()).join(keep, uid, "left_semi").select(*docs.columns)
+    rows = materialize(_digest_rows(docs), "digests")
+    copies = rows.select("uid", "digest").join(_groups(rows).where("n > 1").select("digest", "keep_uid"), "digest")
+    gone = materialize(copies.where("uid <> keep_uid").select(F.col("uid").alias(uid)), "gone")
+    return without(docs.withColumn(uid, F.monotonically_increasing_id()), uid, gone).select(*docs.columns)
 
 
 def live_digests(changes: DataFrame) -> DataFrame:

@@ -68,40 +68,62 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     return materialize(reduce(follow, maps[1:], first), f"{label}-roots")
 
 
+Side = Callable[[str], Column]
+
+
+def _beside(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the columns of a, and those of b in the struct ``other``."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    few = key_prefilter(items, "id", ids)
+    other = few.select(F.col("id").alias("b"), F.struct(*items.columns).alias("other"))
+    return pairs.join(few.withColumnRenamed("id", "a"), "a").join(other, "b")
+
+
 def near_components(
     keyed: DataFrame,
-    near: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
+    near: Callable[[Side, Side], Column],
     verify: Callable[[DataFrame], DataFrame] | None = None,
+    items: DataFrame | None = None,
     label: str = "near",
 ) -> DataFrame:
     """Components of the rows (id, key, ...) that link: they share a key, and ``near`` and ``verify`` hold.
 
     A row per item and key; ``id`` must be unique to an item and hash-like. ``near`` makes a condition on the other columns
-    of two rows (it gets two functions from a name to a column). ``verify`` takes candidates (a, b) and returns those that
-    hold. Returns (id, root) for the ids that have a link.
-
-    Exact, yet without all pairs of a crowded bucket: first an item is compared only with the least of the least rows of
-    its buckets, and components are formed; a link that this misses joins two different components, so
-    at least one of its ends is outside the bucket's largest component. Those rows, and only those,
-    are then compared with all rows of their bucket that belong to another component.
+    of two rows (it gets two functions from a name to a column); columns too wide to travel with every key are in ``items`` instead,
+    by id. ``verify`` takes candidates (a, b) and returns those that hold. Returns (id, root) for the ids that have a link.
+
+    Exact, yet without all pairs of a crowded bucket: first every row of a bucket is compared with the bucket's
+    least row only (of those, ``verify`` gets one an item), and components are formed; a link that this misses joins two
+    different components, so at least one of its ends is outside the bucket's largest component. Those rows, and only those,
+    are then compared with all rows of their bucket that belong to another component. ``near`` is part of that join's condition,
+    so pairs that fail it are never made.
     """
     check = verify or (lambda pairs: pairs)
-    payload = [c for c in keyed.columns if c not in ("id", "key")]
-    close = near(lambda c: F.col(c), lambda c: F.col("other")[c]) if near else F.lit(True)
+    payload = [c for c in (keyed if items is None else items).columns if c not in ("id", "key")]
+    close = near(F.col, lambda c: F.col("other")[c])
     shared = materialize(keyed.groupBy("key").count().where("count > 1").select("key"), f"{label}-keys")
     rows = materialize(key_prefilter(keyed, "key", shared).join(shared, "key", "left_semi"), f"{label}-rows")
 
-    other = F.struct("id", *payload)
-    least = rows.groupBy("key").agg(F.min(other).alias("other"))
-    stars = rows.join(least, "key").where((F.col("id") != F.col("other.id")) & close)
-    first = materialize(check(stars.groupBy(F.col("id").alias("a")).agg(F.min("other.id").alias("b"))), f"{label}-stars")
+    if items is None:
+        least = rows.groupBy("key").agg(F.min(F.struct("id", *payload)).alias("other"))
+        stars = rows.join(least, "key").where((F.col("id") != F.col("other.id")) & close).select(F.col("id").alias("a"), F.col("other.id").alias("b"))
+    else:
+        least = rows.groupBy("key").agg(F.min("id").alias("b"))
+        stars = materialize(rows.join(least, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct(), f"{label}-candidates")
+        stars = _beside(stars, items).where(close).select("a", "b")
+    # where a check costs more than a comparison, one star an item is enough to begin with
+    stars = stars.groupBy("a").agg(F.min("b").alias("b")) if verify else stars.distinct()
+    first = materialize(check(stars), f"{label}-stars")
 
     placed = rows.join(components(first, f"{label}-1").withColumnRenamed("root", "comp"), "id", "left")
     placed = materialize(placed.withColumn("comp", F.coalesce("comp", "id")), f"{label}-placed")
     sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     mixed = materialize(mixed.select("key", "largest"), f"{label}-mixed")
-    crossed = placed.join(mixed, "key")
+    crossed = key_prefilter(placed, "key", mixed).join(mixed, "key")
+    if items is not None:
+        crossed = materialize(crossed, f"{label}-crossed")
+        crossed = crossed.join(key_prefilter(items, "id", crossed.select("id").distinct()), "id")
     outside = crossed.where("comp <> largest").select("key", F.struct("id", "comp", *payload).alias("other"))
     rest = outside.join(crossed.drop("largest"), "key").where((F.col("other.comp") != F.col("comp")) & close)
     pairs = rest.select(F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b")).distinct()
@@ -112,5 +134,5 @@ def near_components(
     return components(first.select("a", "b").unionByName(second.select("a", "b")), f"{label}-2")
 
 
-def within(bits: int) -> Callable[[Callable[[str], Column], Callable[[str], Column]], Column]:
+def within(bits: int) -> Callable[[Side, Side], Column]:
     return lambda a, b: F.bit_count(a("fp").bitwiseXOR(b("fp"))) <= bits
