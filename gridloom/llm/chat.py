@@ -10,7 +10,7 @@ Any other text is the message's content. Calls and results are hash-joined on (c
 first call owns it; a result of an identifier without a call stays and is marked. A call whose
 arguments hold {"$ref": <identifier>} needs that call's result. The order is topological: a call message comes no
 earlier than the results it refers to, a result no earlier than its call; otherwise the turn decides. Levels are found
-by rounds of joins; calls on a cycle keep their turn and are marked. Arguments are checked against
+by rounds of joins, at any depth; calls on or behind a cycle keep their turn and are marked. Arguments are checked against
 the schema that the conversation declares for the tool (type, required, properties, additionalProperties, items, enum).
 Every message becomes canonical JSON: sorted keys, no blanks, UTF-8.
 
@@ -34,7 +34,6 @@ from .common import materialize
 
 LAST_TURN = (1 << 62) - 1
 SEGMENT = 512
-MAX_LEVELS = 1000
 #: Deeper JSON counts as plain text.
 MAX_DEPTH = 100
 _SURROGATE = re.compile(r"\\u[dD][89a-fA-F]")
@@ -193,27 +192,40 @@ def _parse(messages: DataFrame) -> DataFrame:
 
 
 def _levels(calls: DataFrame) -> DataFrame:
-    """Per call message (conv_id, uid): level, and turn' (no earlier than what it refers to). Rounds of joins.
+    """Per call message (uid): level, and turn' (no earlier than what it refers to). Rounds of joins.
 
     Level 0 refers to no call; level n + 1 to calls up to level n. Messages on or behind a cycle get level -1.
+
+    A row (uid, needs, steps, turn') says: level at least that of ``needs`` plus steps, and turn' at least its turn' and this one; without
+    ``needs`` the two are meant as they are. Each round puts the rows of messages that need at most one other in the place of
+    references to them, so a chain halves and takes a logarithmic number of rounds; messages that need several others which don't fall
+    together take a round a level. What needs nothing more is done. No path without a cycle has as many steps as there are messages.
     """
     owners = calls.where("id IS NOT NULL AND conv_id IS NOT NULL").groupBy("conv_id", "id").agg(F.min(F.struct("turn", "uid")).alias("o"))
     owners = owners.select("conv_id", F.col("id").alias("ref"), F.col("o.uid").alias("needs"))
     needs = calls.select("conv_id", "uid", "turn", F.explode("refs").alias("ref")).join(owners.hint("shuffle_hash"), ["conv_id", "ref"])
-    needs = materialize(needs.select("uid", "needs").distinct(), "needs")
+    needs = materialize(needs.select("uid", "needs", F.lit(1).cast("long").alias("steps"), F.col("turn").alias("at")).distinct(), "needs")
     nodes = calls.select("uid", "turn").distinct()
-    done = nodes.join(needs, "uid", "left_anti").select("uid", F.lit(0).alias("level"), F.col("turn").alias("at"))
     if needs.isEmpty():
-        return done
-    done, left = materialize(done, "level"), materialize(nodes.join(needs.select("uid").distinct(), "uid"), "left")
-    for level in range(1, MAX_LEVELS):
-        met = done.select(F.col("uid").alias("needs"), "at")
-        state = needs.join(left, "uid").join(met, "needs", "left").groupBy("uid", "turn").agg(F.count(F.when(F.col("at").isNull(), 1)).alias("open"), F.max("at").alias("after"))
-        ready = materialize(state.where("open = 0").select("uid", F.lit(level).alias("level"), F.greatest("turn", "after").alias("at")), "ready")
-        if ready.isEmpty():
+        return nodes.select("uid", F.lit(0).alias("level"), F.col("turn").alias("at"))
+    nodes = materialize(nodes, "nodes")
+    most = nodes.count()
+    rows = nodes.select("uid", F.lit(None).cast("long").alias("needs"), F.lit(0).cast("long").alias("steps"), F.col("turn").alias("at")).unionByName(needs)
+    while True:
+        plain = rows.groupBy("uid").agg(F.count("needs").alias("open"), F.max(F.when(F.col("needs").isNotNull(), F.col("steps"))).alias("far"))
+        plain = plain.where(f"open = 0 OR open = 1 AND far < {most}").select(F.col("uid").alias("needs"))
+        inner = rows.select(F.col("uid").alias("needs"), F.col("needs").alias("next"), F.col("steps").alias("more"), F.col("at").alias("after")).join(plain, "needs")
+        moving = rows.where(f"needs IS NOT NULL AND steps < {most}").join(inner, "needs", "left").withColumn("moved", F.col("more").isNotNull())
+        moving = moving.select("uid", F.when(F.col("moved"), F.col("next")).otherwise(F.col("needs")).alias("needs"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.greatest("at", "after").alias("at"), "moved")
+        still = rows.where(f"needs IS NULL OR steps >= {most}").withColumn("moved", F.lit(False))
+        after = still.unionByName(moving).groupBy("uid", "needs").agg(F.max("steps").alias("steps"), F.max("at").alias("at"), F.max("moved").alias("moved"))
+        after = materialize(after, "level")
+        rows = after.drop("moved")
+        if after.where("moved").isEmpty():
             break
-        done, left = materialize(done.unionByName(ready), "level"), materialize(left.join(ready, "uid", "left_anti"), "left")
-    return done.unionByName(left.select("uid", F.lit(-1).alias("level"), F.col("turn").alias("at")))
+    ends = rows.groupBy("uid").agg(F.count("needs").alias("open"), F.max("steps").alias("level"), F.max("at").alias("at"))
+    ends = ends.join(nodes, "uid")
+    return ends.select("uid", F.when(F.col("open") == 0, F.col("level")).otherwise(-1).cast("int").alias("level"), F.when(F.col("open") == 0, F.col("at")).otherwise(F.col("turn")).alias("at"))
 
 
 def format_messages(messages: DataFrame) -> DataFrame:

@@ -369,3 +369,23 @@ def test_chat(spark):
 )
 def test_schema(value, schema, bad):
     assert len(chat.problems(value, schema)) == bad
+
+
+def test_chat_levels(spark):
+    """Chains of any depth, several references, cycles and what lies behind them, against plain recursion."""
+    rnd = random.Random(4)
+    needs = {(1, k): {k - 1} if k else set() for k in range(1500)}
+    needs |= {(2, k): set(rnd.sample(range(k), min(k, rnd.randint(0, 3)))) for k in range(40)}
+    needs |= {(3, k): {k - 1, k - 2} if k > 1 else set() for k in range(12)}
+    needs |= {(4, k): {(k + 1) % 7} for k in range(7)} | {(4, k): {k - 1, 20} for k in range(7, 20)} | {(4, 20): set(), (4, 21): {21}}
+    turn = {key: rnd.randrange(3000) for key in needs}
+    level, at = {key: -1 for key in needs}, dict(turn)
+    while ready := [(c, k) for c, k in needs if level[c, k] < 0 and all(level[c, n] >= 0 for n in needs[c, k])]:
+        for c, k in ready:
+            level[c, k] = max([level[c, n] + 1 for n in needs[c, k]], default=0)
+            at[c, k] = max([turn[c, k], *(at[c, n] for n in needs[c, k])])
+    uids = {key: i for i, key in enumerate(needs)}
+    rows = [(uids[c, k], c, turn[c, k], str(k), [str(n) for n in sorted(needs[c, k])]) for c, k in needs]
+    found = chat._levels(spark.createDataFrame(rows, "uid long, conv_id long, turn long, id string, refs array<string>")).collect()
+    assert {r.uid: (r.level, r.at) for r in found} == {uids[key]: (level[key], at[key]) for key in needs}
+    assert level[1, 1499] == 1499 and {level[4, k] for k in range(20)} == {-1} and len(found) == len(needs)
