@@ -35,7 +35,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least doc_id of each component of five-word SimHash fingerprints at three or fewer differing bits."""
+    """The least doc_id of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 or more."""
     _lean(spark)
     return simhash.drop_near_duplicates(docs)
 

@@ -1,4 +1,4 @@
-"""SimHash near-duplicate documents: at three differing bits of 64, and at similarity 0.8 by a wide fingerprint.
+"""SimHash near-duplicate documents: at three differing bits of 64, and at similarity 0.8 by a wide fingerprint and a check of the shingles.
 
 Fingerprints are made in one pass over the texts; rows with equal fingerprints become one class before
 anything is joined, classes meet on pigeonhole blocks (see ``linking``), and Hamming distance is verified.
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, materialize, without
+from .common import fresh, key_prefilter, materialize, without
 from .linking import block_keys, near_components, within
 from .text import BLANK, LOWER, pieces, release, spans, string_bytes
 
@@ -37,6 +37,9 @@ WIDE = 8
 WORDS = [f"f{k}" for k in range(WIDE)]
 BLOCKS, SAMPLE = 24, 7
 WIDE_BITS = 84
+#: Candidates are verified by their shingles; they may differ by three standard deviations more.
+LOOSE_BITS = WIDE_BITS + 24
+SIMILARITY = 0.8
 
 
 def fingerprint(data: np.ndarray, words: int) -> int:
@@ -170,23 +173,52 @@ def wide_fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
 
 
 def _near_words(a, b):
-    return sum((F.bit_count(a(w).bitwiseXOR(b(w))) for w in WORDS), F.lit(0)) <= WIDE_BITS
+    return sum((F.bit_count(a(w).bitwiseXOR(b(w))) for w in WORDS), F.lit(0)) <= LOOSE_BITS
 
 
-def similar_components(prints: DataFrame) -> DataFrame:
+def shingle_sets(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
+    """(id, shingles) of rows(id, text): the distinct shingle hashes."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = string_bytes(batch.column(1))
+            for lo, hi in pieces(offsets, PIECE_BYTES):
+                sets = [np.zeros(0, np.uint64)] * (hi - lo)
+                for d, hashes in _shingle_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], words):
+                    sets[d] = np.unique(hashes)
+                ends = np.cumsum([0, *map(len, sets)])
+                listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), listed], names=["id", "shingles"])
+        release()
+
+    return docs.select("id", "text").mapInArrow(make, "id long, shingles array<long>")
+
+
+def similar_components(prints: DataFrame, texts: DataFrame, words: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
     """(id, root) of the rows of ``wide_fingerprints`` that have a near duplicate; id is xxhash64(uid).
 
-    Keys travel alone; the fingerprints join the candidates.
+    Keys travel alone; the fingerprints join the candidates, and of those within LOOSE_BITS the shingles of ``texts`` (uid, text) are compared.
     """
     items = prints.select(F.xxhash64("uid").alias("id"), *WORDS)
     keyed = prints.select(F.xxhash64("uid").alias("id"), F.explode(F.array_distinct("blocks")).alias("key"))
-    return near_components(keyed, _near_words, items=items, label="similar")
+    named = texts.select(F.xxhash64("uid").alias("id"), "text")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs, "similar-checked")
+        ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "similar-ids")
+        sets = materialize(shingle_sets(key_prefilter(named, "id", ids), words).join(ids, "id", "left_semi"), "similar-sets")
+        both = pairs.join(sets.withColumnsRenamed({"id": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"id": "b", "shingles": "y"}), "b")
+        shared, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
+        return both.where((1 + least) * shared + 1e-9 >= least * total).select("a", "b")
+
+    return near_components(keyed, _near_words, verify, items=items, label="similar")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     """``docs`` (any columns) with one row of each group of similar texts: the one with the least doc_id, nulls last.
 
-    Similar: sets of ``words``-word shingles with a Jaccard similarity of 0.8 or more, as told by a 512-bit SimHash.
+    Similar: sets of ``words``-word shingles with a Jaccard similarity of 0.8 or more, counted on their 64-bit hashes. Candidates share a block
+    and differ in at most LOOSE_BITS of a 512-bit SimHash, so a pair just above 0.8 may rarely be missed, and none below it is joined.
     At that similarity 64-bit fingerprints differ in some ten bits, which no exact split into blocks reaches; here a
     block is the SimHash of seven sampled shingles, the same ones in both texts if their
     samples agree, which at a similarity of 0.8 is so in a fifth of the blocks. Texts without words are all kept.
@@ -195,7 +227,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     # the row number is stored with the fingerprint, and made anew over the same scan
     numbered = docs.withColumn(uid, F.monotonically_increasing_id())
     prints = materialize(wide_fingerprints(numbered.select(F.col(uid).alias("uid"), "doc_id", "text"), words), "prints")
-    roots = similar_components(prints)
+    roots = similar_components(prints, numbered.select(F.col(uid).alias("uid"), "text"), words)
     placed = prints.select("uid", "doc_id", F.xxhash64("uid").alias("id")).join(roots, "id")
     best = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("best"))
     gone = materialize(placed.join(best, "root").where("uid <> best.uid").select(F.col("uid").alias(uid)), "gone")

@@ -239,3 +239,19 @@ def test_plain_fingerprint_sizes(n):
     import numpy as np
 
     assert simhash.fingerprint(np.frombuffer(text.encode(), np.uint8), 3) == plain_fingerprint(text, 3)
+
+
+def test_similar_documents_by_their_shingles(spark):
+    """Pairs on both sides of a Jaccard similarity of 0.8, as close as 0.79 and 0.80."""
+    rnd = random.Random(31)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    rows, copies = [], []
+    for i in range(120):
+        text = [word() for _ in range(304)]
+        n = 33 if i % 2 else rnd.randint(34, 60)  # the tail differs: 300 - n shingles of 300 + n are shared, 0.802 at 33 and 0.796 at 34
+        other = text[: 304 - n] + [word() for _ in range(n)]
+        rows += [(i, " ".join(text)), (1000 + i, " ".join(other))]
+        copies.append((300 - n) / (300 + n) >= 0.8)
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept >= set(range(120)) and {1000 + i for i, copy in enumerate(copies) if not copy} <= kept
+    assert len(kept & {1000 + i for i, copy in enumerate(copies) if copy}) <= 2
