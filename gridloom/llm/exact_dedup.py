@@ -8,8 +8,8 @@ it is); the entries are then dealt by digest, and one index per partition merges
 included: a tag hit is verified against the digest in the bucket, deletion takes out exactly the digest asked
 for, and an insertion that finds no slot doubles the table and places all entries anew from their stored keys.
 
-Null texts count as empty. Rows without doc_id order after the others. Exact repeats of a row are told apart by
-their place in the scan, so exactly one row of a group is kept.
+Null texts count as empty. Rows without doc_id order after the others; a doc_id may be of any type that has an order. Exact repeats of a row
+are told apart by their place in the files (``common.placed``), so exactly one row of a group is kept, however the files are read.
 """
 
 from __future__ import annotations
@@ -21,8 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import fresh, materialize, without
+from .common import materialize, placed, without
 from .text import release, string_bytes
 
 SLOTS = 4
@@ -122,26 +124,25 @@ class CuckooIndex:
         return (x for x in self.entries if x is not None)
 
 
-_ENTRY = "digest binary, no_id boolean, keep_id long, keep_uid long, length long, n long"
+def _entry(kind: T.DataType) -> T.StructType:
+    """An index entry as a row: digest, and of the row that stays doc_id, place and length; n counts the group's rows."""
+    fields = {"digest": T.BinaryType(), "no_id": T.BooleanType(), "keep_id": kind, "keep_file": T.LongType(), "keep_row": T.LongType(), "length": T.LongType(), "n": T.LongType()}
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
 
 
-def _entries(index: CuckooIndex) -> pa.RecordBatch:
-    rows = list(index.items())
-    value = lambda k, kind: pa.array([v[k] for _, v in rows], kind)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([d for d, _ in rows], pa.binary()), value(0, pa.bool_()), value(1, pa.int64()), value(2, pa.int64()), value(3, pa.int64()), value(4, pa.int64())],
-        ["digest", "no_id", "keep_id", "keep_uid", "length", "n"],
-    )
+def _entries(index: CuckooIndex, schema: T.StructType) -> pa.RecordBatch:
+    rows = [(d, *v) for d, v in index.items()]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], to_arrow_type(f.dataType)) for k, f in enumerate(schema)], schema.names)
 
 
 def _fold(index: CuckooIndex, digest: bytes, row: tuple) -> None:
-    """row: (no doc_id, doc_id, uid, length, rows). The longest text stays, then the least doc_id, then scan order."""
+    """row: (no doc_id, doc_id, file, row, length, rows). The longest text stays, then the least doc_id, then the first place."""
     had = index.get(digest)
     if had is None:
         index.put(digest, row)
     else:
-        best = min(had, row, key=lambda x: (-x[3], x[0], x[1] or 0, x[2]))
-        index.put(digest, (*best[:4], had[4] + row[4]))
+        best = min(had, row, key=lambda x: (-x[4], x[0], 0 if x[0] else x[1], x[2], x[3]))
+        index.put(digest, (*best[:5], had[5] + row[5]))
 
 
 def _code_points(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -151,33 +152,39 @@ def _code_points(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _digest_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, uid, digest, length) of every row."""
+    """(doc_id, file, row, digest, length) of rows(doc_id, file, row, text)."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = string_bytes(batch.column(2))
+            data, offsets = string_bytes(batch.column(3))
             whole = memoryview(data.tobytes())
             at = offsets.tolist()
             found = [hashlib.sha256(bytes(whole[a:b]).translate(None, BLANKS)).digest() for a, b in zip(at, at[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(found, pa.binary()), pa.array(_code_points(data, offsets))], ["doc_id", "uid", "digest", "length"]
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary()), pa.array(_code_points(data, offsets))], ["doc_id", "file", "row", "digest", "length"])
         release()
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), "text")
-    return slim.mapInArrow(digest, "doc_id long, uid long, digest binary, length long")
+    kind = T.StructField("doc_id", docs.schema["doc_id"].dataType)
+    longs = [T.StructField(n, T.LongType()) for n in ("file", "row")]
+    return docs.mapInArrow(digest, T.StructType([kind, *longs, T.StructField("digest", T.BinaryType()), T.StructField("length", T.LongType())]))
+
+
+def _digests(docs: DataFrame, place: list[str]) -> DataFrame:
+    file, row = place
+    return materialize(_digest_rows(docs.select("doc_id", F.col(file).alias("file"), F.col(row).alias("row"), "text")), "digests")
 
 
 def _groups(rows: DataFrame) -> DataFrame:
+    entry = _entry(rows.schema["doc_id"].dataType)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = CuckooIndex()
         for batch in batches:
-            for doc, uid, digest, length in zip(*(c.to_pylist() for c in batch.columns)):
-                _fold(index, digest, (doc is None, doc, uid, length, 1))
+            for doc, file, row, digest, length in zip(*(c.to_pylist() for c in batch.columns)):
+                _fold(index, digest, (doc is None, doc, file, row, length, 1))
                 if len(index) >= SCAN_ENTRIES:
-                    yield _entries(index)
+                    yield _entries(index, entry)
                     index = CuckooIndex()
-        yield _entries(index)
+        yield _entries(index, entry)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # entries come sorted by digest prefix, so the index may be emptied between prefixes and stays small
@@ -185,30 +192,31 @@ def _groups(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for digest, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if len(index) >= SCAN_ENTRIES and digest[:4] != prefix:
-                    yield _entries(index)
+                    yield _entries(index, entry)
                     index = CuckooIndex()
                 prefix = digest[:4]
                 _fold(index, digest, tuple(row))
-        yield _entries(index)
+        yield _entries(index, entry)
 
-    return rows.mapInArrow(scan, _ENTRY).repartition("digest").sortWithinPartitions("digest").mapInArrow(merge, _ENTRY)
+    return rows.mapInArrow(scan, entry).repartition("digest").sortWithinPartitions("digest").mapInArrow(merge, entry)
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, uid, keep_id, group_size, kept, text_sha256."""
-    rows = materialize(_digest_rows(docs), "digests")
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
+    rows = _digests(*placed(docs.select("doc_id", "text")))
     # a group may hold a third of the rows: the adaptive skew join splits the rows' side
-    found = rows.join(_groups(rows.select("doc_id", "uid", "digest", "length")), "digest")
-    return found.select("doc_id", "uid", "keep_id", F.col("n").alias("group_size"), (F.col("uid") == F.col("keep_uid")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    found = rows.join(_groups(rows).drop("length"), "digest")
+    kept = (F.col("file") == F.col("keep_file")) & (F.col("row") == F.col("keep_row"))
+    return found.select("doc_id", "keep_id", F.col("n").alias("group_size"), kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` (any columns) with one row of each group of equal texts."""
-    (uid,) = fresh(docs.columns, "uid")
-    rows = materialize(_digest_rows(docs), "digests")
-    copies = rows.select("uid", "digest").join(_groups(rows).where("n > 1").select("digest", "keep_uid"), "digest")
-    gone = materialize(copies.where("uid <> keep_uid").select(F.col("uid").alias(uid)), "gone")
-    return without(docs.withColumn(uid, F.monotonically_increasing_id()), uid, gone).select(*docs.columns)
+    numbered, place = placed(docs)
+    rows = _digests(numbered, place)
+    copies = rows.select("file", "row", "digest").join(_groups(rows).where("n > 1").select("digest", "keep_file", "keep_row"), "digest")
+    gone = copies.where("file <> keep_file OR row <> keep_row").select(F.col("file").alias(place[0]), F.col("row").alias(place[1]))
+    return without(numbered, place, materialize(gone, "gone")).select(*docs.columns)
 
 
 def live_digests(changes: DataFrame) -> DataFrame:

@@ -9,7 +9,15 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_prefilter, materialize
+from .common import key_prefilter, materialize, scratch
+
+#: Rows of a bucket on either side of one cell of its comparisons: a crowded bucket is dealt to many tasks, cell by cell.
+CELL = 512
+#: Comparisons of a bucket above which it is first split by ``refine``, where there is one.
+CROWDED = 1 << 14
+#: Times that a bucket may be split.
+SPLITS = 2
+
 
 def blocks_of(bits: int) -> tuple[tuple[int, int], ...]:
     """(first bit, width) of twice as many blocks of 64 bits as may differ: half of them agree, with 32 bits in all."""
@@ -41,31 +49,30 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     combined before the shuffle, its edge rows are split by the adaptive skew join, and each round is
     written to the shared folder; nothing is collected.
     """
-    todo = materialize(
-        edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(),
-        f"{label}-edges",
-    )
-    maps = []
-    while not todo.isEmpty():
-        both = todo.unionByName(todo.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = materialize(
-            both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("to")), f"{label}-map"
-        )
-        maps.append(step)
-        s, t = step.select(F.col("a"), F.col("to").alias("x")), step.select(F.col("a").alias("b"), F.col("to").alias("y"))
+    with scratch(edges.sparkSession):
         todo = materialize(
-            todo.join(s, "a").join(t, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(),
+            edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(),
             f"{label}-edges",
-        )
-    if not maps:
-        return todo.select(F.col("a").alias("id"), F.col("b").alias("root"))
-
-    def follow(found: DataFrame, step: DataFrame) -> DataFrame:
-        step = step.select(F.col("a").alias("root"), "to")
-        return found.join(step, "root", "left").select("id", F.coalesce("to", "root").alias("root"))
-
-    first = maps[0].select(F.col("a").alias("id"), F.col("to").alias("root"))
-    return materialize(reduce(follow, maps[1:], first), f"{label}-roots")
+        )
+        maps = []
+        while not todo.isEmpty():
+            both = todo.unionByName(todo.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            step = materialize(
+                both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("to")), f"{label}-map"
+            )
+            maps.append(step)
+            s, t = step.select(F.col("a"), F.col("to").alias("x")), step.select(F.col("a").alias("b"), F.col("to").alias("y"))
+            todo = materialize(
+                todo.join(s, "a").join(t, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(),
+                f"{label}-edges",
+            )
+
+        def follow(found: DataFrame, step: DataFrame) -> DataFrame:
+            step = step.select(F.col("a").alias("root"), "to")
+            return found.join(step, "root", "left").select("id", F.coalesce("to", "root").alias("root"))
+
+        first = (maps[0] if maps else todo.withColumnRenamed("b", "to")).select(F.col("a").alias("id"), F.col("to").alias("root"))
+        return materialize(reduce(follow, maps[1:], first), f"{label}-roots", keep=True)
 
 
 Side = Callable[[str], Column]
@@ -79,12 +86,28 @@ def _beside(pairs: DataFrame, items: DataFrame) -> DataFrame:
     return pairs.join(few.withColumnRenamed("id", "a"), "a").join(other, "b")
 
 
+def _across(crossed: DataFrame, payload: list[str], close: Column) -> DataFrame:
+    """Pairs (a, b) of a key that lie in two components, one of them not the largest, and are close.
+
+    ``crossed``: id, key, comp, largest, size, away (rows, and rows outside the largest component, of the key) and the payload. The
+    comparisons of a key form a grid of cells of CELL x CELL rows at most, each a join key of its own, so a crowded key is spread over tasks.
+    """
+    cells = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "id"), F.ceil(F.col(n) / CELL))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / CELL) - 1))
+    outside = crossed.where("comp <> largest").select("key", cells("away", 1).alias("i"), F.struct("id", "comp", *payload).alias("other"), "size")
+    outside = outside.select("key", "i", every("size").alias("j"), "other")
+    inside = crossed.select("id", "key", "comp", *payload, cells("size", 2).alias("j"), every("away").alias("i"))
+    rest = outside.join(inside, ["key", "i", "j"]).where((F.col("other.comp") != F.col("comp")) & close)
+    return rest.select(F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b")).distinct()
+
+
 def near_components(
     keyed: DataFrame,
     near: Callable[[Side, Side], Column],
     verify: Callable[[DataFrame], DataFrame] | None = None,
     items: DataFrame | None = None,
     label: str = "near",
+    refine: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Components of the rows (id, key, ...) that link: they share a key, and ``near`` and ``verify`` hold.
 
@@ -95,43 +118,56 @@ def near_components(
     Exact, yet without all pairs of a crowded bucket: first every row of a bucket is compared with the bucket's
     least row only (of those, ``verify`` gets one an item), and components are formed; a link that this misses joins two
     different components, so at least one of its ends is outside the bucket's largest component. Those rows, and only those,
-    are then compared with all rows of their bucket that belong to another component. ``near`` is part of that join's condition,
-    so pairs that fail it are never made.
+    are then compared with all rows of their bucket that belong to another component, in cells of bounded size. ``near`` is part of
+    that join's condition, so pairs that fail it are never made.
+
+    ``refine`` takes rows of buckets in which that is more than CROWDED comparisons, and returns them under narrower keys;
+    what is found then is what those keys find. Without it (and after SPLITS times) such buckets are compared as they are.
     """
+    spark = keyed.sparkSession
     check = verify or (lambda pairs: pairs)
-    payload = [c for c in (keyed if items is None else items).columns if c not in ("id", "key")]
+    payload = [c for c in (keyed if items is None else items).columns if c not in ("id", "key", "used")]
     close = near(F.col, lambda c: F.col("other")[c])
-    shared = materialize(keyed.groupBy("key").count().where("count > 1").select("key"), f"{label}-keys")
-    rows = materialize(key_prefilter(keyed, "key", shared).join(shared, "key", "left_semi"), f"{label}-rows")
-
-    if items is None:
-        least = rows.groupBy("key").agg(F.min(F.struct("id", *payload)).alias("other"))
-        stars = rows.join(least, "key").where((F.col("id") != F.col("other.id")) & close).select(F.col("id").alias("a"), F.col("other.id").alias("b"))
-    else:
-        least = rows.groupBy("key").agg(F.min("id").alias("b"))
-        stars = materialize(rows.join(least, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct(), f"{label}-candidates")
-        stars = _beside(stars, items).where(close).select("a", "b")
-    # where a check costs more than a comparison, one star an item is enough to begin with
-    stars = stars.groupBy("a").agg(F.min("b").alias("b")) if verify else stars.distinct()
-    first = materialize(check(stars), f"{label}-stars")
-
-    placed = rows.join(components(first, f"{label}-1").withColumnRenamed("root", "comp"), "id", "left")
-    placed = materialize(placed.withColumn("comp", F.coalesce("comp", "id")), f"{label}-placed")
-    sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    mixed = materialize(mixed.select("key", "largest"), f"{label}-mixed")
-    crossed = key_prefilter(placed, "key", mixed).join(mixed, "key")
-    if items is not None:
-        crossed = materialize(crossed, f"{label}-crossed")
-        crossed = crossed.join(key_prefilter(items, "id", crossed.select("id").distinct()), "id")
-    outside = crossed.where("comp <> largest").select("key", F.struct("id", "comp", *payload).alias("other"))
-    rest = outside.join(crossed.drop("largest"), "key").where((F.col("other.comp") != F.col("comp")) & close)
-    pairs = rest.select(F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b")).distinct()
-    pairs = materialize(pairs, f"{label}-pairs")
-    if pairs.isEmpty():
-        return components(first, f"{label}-2")
-    second = materialize(check(pairs), f"{label}-rest")
-    return components(first.select("a", "b").unionByName(second.select("a", "b")), f"{label}-2")
+
+    def stars_of(rows: DataFrame) -> DataFrame:
+        if items is None:
+            least = rows.groupBy("key").agg(F.min(F.struct("id", *payload)).alias("other"))
+            stars = rows.join(least, "key").where((F.col("id") != F.col("other.id")) & close).select(F.col("id").alias("a"), F.col("other.id").alias("b"))
+        else:
+            least = rows.groupBy("key").agg(F.min("id").alias("b"))
+            stars = materialize(rows.join(least, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct(), f"{label}-candidates")
+            stars = _beside(stars, items).where(close).select("a", "b")
+        # where a check costs more than a comparison, one star an item is enough to begin with
+        return stars.groupBy("a").agg(F.min("b").alias("b")) if verify else stars.distinct()
+
+    with scratch(spark):
+        links = []
+        for turn in range(SPLITS + 1 if refine else 1):
+            shared = materialize(keyed.groupBy("key").agg(F.min("id").alias("one"), F.max("id").alias("two")).where("one <> two").select("key"), f"{label}-keys")
+            rows = materialize(key_prefilter(keyed, "key", shared).join(shared, "key", "left_semi").dropDuplicates(["key", "id"]), f"{label}-rows")
+            links.append(materialize(check(materialize(stars_of(rows), f"{label}-first")).select("a", "b"), f"{label}-stars"))
+            roots, known = components(reduce(DataFrame.unionByName, links), f"{label}-1"), len(links)
+            rows = rows.join(roots.withColumnRenamed("root", "comp"), "id", "left")
+            rows = materialize(rows.withColumn("comp", F.coalesce("comp", "id")), f"{label}-placed")
+            sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+            mixed = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("size"), F.max("n").alias("most"))
+            mixed = mixed.where("kinds > 1").select("key", "largest", "size", (F.col("size") - F.col("most")).alias("away"))
+            mixed = materialize(mixed, f"{label}-mixed")
+            crowded = F.col("size") * F.col("away") > CROWDED if refine and turn < SPLITS else F.lit(False)
+            crossed = key_prefilter(rows, "key", mixed).join(mixed.where(~crowded), "key")
+            if items is not None:
+                crossed = materialize(crossed, f"{label}-crossed")
+                crossed = crossed.join(key_prefilter(items, "id", crossed.select("id").distinct()), "id")
+            pairs = materialize(_across(crossed, payload, close), f"{label}-pairs")
+            if not pairs.isEmpty():
+                links.append(materialize(check(pairs).select("a", "b"), f"{label}-rest"))
+            crowds = mixed.where(crowded).select("key")
+            if not refine or crowds.isEmpty():
+                break
+            keyed = materialize(refine(key_prefilter(rows, "key", crowds).join(crowds, "key", "left_semi").drop("comp")), f"{label}-split")
+        if len(links) > known:
+            roots = components(reduce(DataFrame.unionByName, links), f"{label}-2")
+        return materialize(roots, label, keep=True)
 
 
 def within(bits: int) -> Callable[[Side, Side], Column]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, key_prefilter, materialize, without
+from .common import fresh, key_prefilter, materialize, placed, without
 from .linking import block_keys, near_components, within
 from .text import BLANK, LOWER, pieces, release, spans, string_bytes
 
@@ -152,11 +152,11 @@ def _wide(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def wide_fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """(uid, doc_id, f0 ... f7, blocks) of rows(uid, doc_id, text); no blocks for a text without words."""
+    """(file, row, doc_id, f0 ... f7, blocks) of rows(file, row, doc_id, text); no blocks for a text without words."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = string_bytes(batch.column(2))
+            data, offsets = string_bytes(batch.column(3))
             for lo, hi in pieces(offsets, PIECE_BYTES):
                 n = hi - lo
                 prints, keys = np.zeros((n, WIDE), np.uint64), [np.zeros(0, np.uint64)] * n
@@ -165,11 +165,12 @@ def wide_fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
                 ends = np.cumsum([0, *map(len, keys)])
                 listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys).view(np.int64)))
                 longs = [pa.array(np.ascontiguousarray(prints[:, k]).view(np.int64)) for k in range(WIDE)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), *longs, listed], names=["uid", "doc_id", *WORDS, "blocks"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, n) for c in batch.columns[:3]), *longs, listed], names=["file", "row", "doc_id", *WORDS, "blocks"])
         release()
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("uid", "doc_id", "text").mapInArrow(make, f"uid long, doc_id {kind}, {', '.join(f'{w} long' for w in WORDS)}, blocks array<long>")
+    longs = [T.StructField(n, T.LongType()) for n in ("file", "row", *WORDS)]
+    schema = T.StructType([*longs[:2], T.StructField("doc_id", docs.schema["doc_id"].dataType), *longs[2:], T.StructField("blocks", T.ArrayType(T.LongType()))])
+    return docs.select("file", "row", "doc_id", "text").mapInArrow(make, schema)
 
 
 def _near_words(a, b):
@@ -195,23 +196,22 @@ def shingle_sets(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
 
 
 def similar_components(prints: DataFrame, texts: DataFrame, words: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
-    """(id, root) of the rows of ``wide_fingerprints`` that have a near duplicate; id is xxhash64(uid).
+    """(id, root) of the rows of ``wide_fingerprints`` with their ids that have a near duplicate.
 
-    Keys travel alone; the fingerprints join the candidates, and of those within LOOSE_BITS the shingles of ``texts`` (uid, text) are compared.
+    Keys travel alone; the fingerprints join the candidates, and of those within LOOSE_BITS the shingles of ``texts`` (file, row, text) are compared.
     """
-    items = prints.select(F.xxhash64("uid").alias("id"), *WORDS)
-    keyed = prints.select(F.xxhash64("uid").alias("id"), F.explode(F.array_distinct("blocks")).alias("key"))
-    named = texts.select(F.xxhash64("uid").alias("id"), "text")
+    keyed = prints.select("id", F.explode(F.array_distinct("blocks")).alias("key"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs, "similar-checked")
-        ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "similar-ids")
-        sets = materialize(shingle_sets(key_prefilter(named, "id", ids), words).join(ids, "id", "left_semi"), "similar-sets")
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        at = materialize(key_prefilter(prints.select("id", "file", "row"), "id", ids).join(ids, "id", "left_semi"), "similar-places")
+        named = key_prefilter(texts, ["file", "row"], at).join(at, ["file", "row"]).select("id", "text")
+        sets = materialize(shingle_sets(named, words), "similar-sets")
         both = pairs.join(sets.withColumnsRenamed({"id": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"id": "b", "shingles": "y"}), "b")
         shared, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
         return both.where((1 + least) * shared + 1e-9 >= least * total).select("a", "b")
 
-    return near_components(keyed, _near_words, verify, items=items, label="similar")
+    return near_components(keyed, _near_words, verify, items=prints.select("id", *WORDS), label="similar")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
@@ -221,14 +221,15 @@ def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     and differ in at most LOOSE_BITS of a 512-bit SimHash, so a pair just above 0.8 may rarely be missed, and none below it is joined.
     At that similarity 64-bit fingerprints differ in some ten bits, which no exact split into blocks reaches; here a
     block is the SimHash of seven sampled shingles, the same ones in both texts if their
-    samples agree, which at a similarity of 0.8 is so in a fifth of the blocks. Texts without words are all kept.
+    samples agree, which at a similarity of 0.8 is so in a fifth of the blocks. Texts without words are all kept. Repeated rows are
+    told apart by their place in the files.
     """
-    (uid,) = fresh(docs.columns, "uid")
-    # the row number is stored with the fingerprint, and made anew over the same scan
-    numbered = docs.withColumn(uid, F.monotonically_increasing_id())
-    prints = materialize(wide_fingerprints(numbered.select(F.col(uid).alias("uid"), "doc_id", "text"), words), "prints")
-    roots = similar_components(prints, numbered.select(F.col(uid).alias("uid"), "text"), words)
-    placed = prints.select("uid", "doc_id", F.xxhash64("uid").alias("id")).join(roots, "id")
-    best = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("best"))
-    gone = materialize(placed.join(best, "root").where("uid <> best.uid").select(F.col("uid").alias(uid)), "gone")
-    return without(numbered, uid, gone).select(*docs.columns)
+    numbered, place = placed(docs)
+    rows = numbered.select(F.col(place[0]).alias("file"), F.col(place[1]).alias("row"), "doc_id", "text")
+    # the ids are a bijection of a row number, stored with the fingerprints: unique, and in random order
+    prints = materialize(wide_fingerprints(rows, words).withColumn("id", F.xxhash64(F.monotonically_increasing_id())), "prints")
+    roots = similar_components(prints, rows.drop("doc_id"), words)
+    found = prints.select("file", "row", "doc_id", "id").join(roots, "id")
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row")).alias("best"))
+    gone = found.join(best, "root").where("file <> best.file OR row <> best.row").select(F.col("file").alias(place[0]), F.col("row").alias(place[1]))
+    return without(numbered, place, materialize(gone, "gone")).select(*docs.columns)
