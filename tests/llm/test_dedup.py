@@ -165,11 +165,6 @@ def plain_line(line):
     return re.sub(r"[\x20\x09-\x0D]+", " ", line.lower()).strip(" ")
 
 
-def line_print(spark, lines):
-    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
-    return {r.doc_id: r.fp for r in L.fingerprints(rows).collect()}
-
-
 def word_distance(a, b):
     old = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -180,50 +175,141 @@ def word_distance(a, b):
     return old[-1]
 
 
+def edit_similarity(a, b):
+    a, b = a.split(" "), b.split(" ")
+    return 1 - word_distance(a, b) / max(len(a), len(b))
+
+
 def test_line_fingerprint(spark):
     rnd = random.Random(2)
-    lines = ["one two three", "one", "a b c", "long " + " ".join(f"w{i % 977}" for i in range(1500)), " ".join(rnd.choice(["aa", "bb", "cc"]) for _ in range(511))]
+    lines = ["one two three four five", "a b c d e f", "long " + " ".join(f"w{i % 977}" for i in range(1500)), " ".join(rnd.choice(["aa", "bb", "c"]) for _ in range(511)), "x " * 600]
     import pyspark.sql.functions as F
 
     words = sorted({w for x in lines for w in x.split()})
     hashed = {r.w: r.h for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
-    for i, fp in line_print(spark, lines).items():
-        long = [w for w in lines[i].split() if len(w) > 1]
-        want = sum(1 << b for b in range(63) if 2 * sum(hashed[w] >> b & 1 for w in long) > len(long))
-        assert fp == want if long else fp > 0
+    found = L.fingerprints(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), "doc_id").collect()
+    assert len(found) == len(lines)
+    for r in found:
+        own = lines[r.doc_id].split()
+        assert r.n == len(own) and 1 <= len(r.blocks) <= L.BLOCKS
+        assert r.fp == sum(1 << b for b in range(63) if 2 * sum(hashed[w] >> b & 1 for w in own) > len(own))
 
 
-def test_line_groups(spark, docs, rows):
-    rnd = random.Random(9)
-    base = [" ".join(f"word{rnd.randrange(5000)}" for _ in range(60)) for _ in range(6)]
-    texts = []
-    for b in base:
-        for _ in range(6):
-            w = b.split()
-            w[rnd.randrange(60)] = "other"
-            texts.append("\n".join([b, " ".join(w), "", "Page  1 ", "\tpage 1"]))
-    texts += ["for " * n for n in (5, 6, 30, 60)] + [None, "", "a b", "A  b\nb a"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+def line_groups_by_brute_force(texts, linked):
+    """(doc, line, first doc, first line, size, kept) of each line; linked(a, b) for normalised lines."""
     lines = [(d, i, plain_line(x)) for d, t in enumerate(texts) if t is not None for i, x in enumerate(t.split("\n")) if plain_line(x)]
     distinct = sorted({x for _, _, x in lines})
-    prints = line_print(spark, distinct)
-    pairs = [
-        (i, j) for i in range(len(distinct)) for j in range(i)
-        if (prints[i] ^ prints[j]).bit_count() <= 2 and 1 - word_distance(distinct[i].split(" "), distinct[j].split(" ")) / max(len(distinct[i].split(" ")), len(distinct[j].split(" "))) >= 0.8 - 1e-9
-    ]
+    pairs = [(i, j) for i in range(len(distinct)) for j in range(i) if linked(distinct[i], distinct[j])]
     top = dict(zip(distinct, union(len(distinct), pairs)))
     first, size = {}, Counter()
     for d, i, x in lines:
         first[top[x]] = min(first.get(top[x], (10**9, 0)), (d, i))
         size[top[x]] += 1
-    want = {(d, i, *first[top[x]], size[top[x]], (d, i) == first[top[x]]) for d, i, x in lines}
+    return {(d, i, *first[top[x]], size[top[x]], (d, i) == first[top[x]]) for d, i, x in lines}
+
+
+def test_line_groups(spark, docs, rows):
+    rnd = random.Random(9)
+    base = [" ".join(f"word{rnd.randrange(5000)}" for _ in range(60)) for _ in range(6)]
+    texts = []
+    for b in base:
+        for k in range(6):
+            w = b.split()
+            for p in rnd.sample(range(60), k + 1):  # up to a tenth of the words
+                w[p] = rnd.choice(["other", "x", "more words"])
+            texts.append("\n".join([b, " ".join(w), "", "Page  1 ", "\tpage 1", "a b c d e", f"a b {k} d e"]))
+    texts += ["for " * n for n in (5, 6, 30, 60)] + ["x " * 700, "x " * 900, "x " * 701, None, "", "a b", "A  b\nb a", "one two three four", "one two three five"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = line_groups_by_brute_force(texts, lambda a, b: edit_similarity(a, b) >= 0.8 - 1e-9)
     assert {(r.doc_id, r.line, r.keep_doc, r.keep_line, r.group_size, r.kept) for r in L.line_groups(df).collect()} == want
-    assert pairs, "the fixture has near lines"
+    assert len({w[2:4] for w in want}) < len({plain_line(x) for t in texts for x in (t or "").split("\n")}) - 40, "the fixture has near lines"
     clean = {r.doc_id: r.text for r in L.drop_repeated_lines(df).collect()}
-    assert clean[0].split("\n")[0] == base[0] and not any(base[0] in clean[d] for d in range(1, 36)) and clean[40] is None
+    assert clean[0].split("\n")[0] == base[0] and not any(base[0] in clean[d] for d in range(1, 36)) and clean[43] is None
     assert L.drop_repeated_lines(docs).columns == docs.columns and L.drop_repeated_lines(docs).count() == len(rows)
 
 
+def edited(rnd, words, n):
+    """``words`` with n of them replaced, dropped, or followed by a new one."""
+    out = list(words)
+    for p in sorted(rnd.sample(range(len(words)), n), reverse=True):
+        new = f"new{rnd.getrandbits(30)}"
+        out[p : p + 1] = rnd.choice([[new], [], [out[p], new]])
+    return out
+
+
+def test_similar_lines_are_found(spark):
+    """Recall against edit similarity alone: pairs at 0.8 or more, most of them just there, by the number of words."""
+    rnd = random.Random(13)
+    texts, pairs = [], defaultdict(list)
+    for n in (5, 8, 12, 20, 40, 80):
+        for _ in range(100):
+            a = [f"w{rnd.randrange(3000)}" for _ in range(n)]
+            b = edited(rnd, a, max(1, int(0.2 * n)))
+            if edit_similarity(" ".join(a), " ".join(b)) >= 0.8:
+                pairs[n].append((len(texts), len(texts) + 1))
+            texts += [" ".join(a), " ".join(b)]
+    first = {r.doc_id: r.keep_doc for r in L.line_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for n, some in pairs.items():
+        assert len(some) > 25 and sum(first[a] == first[b] for a, b in some) >= 0.9 * len(some), n
+    assert all(first[k] // 2 == k // 2 for k in range(len(texts))), "unrelated lines stay apart"
+
+
+def test_crowded_line_blocks(spark, monkeypatch):
+    """Blocks that many unrelated lines share are split by further runs, and lines that resemble each other are still found."""
+    monkeypatch.setattr(linking, "CROWDED", 64)
+    rnd = random.Random(17)
+    common = "all rights reserved by the owner"
+    texts = []
+    for _ in range(150):
+        a = [f"w{rnd.randrange(3000)}" for _ in range(rnd.randint(8, 24))]
+        at = rnd.randrange(len(a))
+        a[at:at] = common.split()
+        texts += [" ".join(a), " ".join(edited(rnd, a, 2))]
+    found = {(r.doc_id, r.keep_doc) for r in L.line_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = {w[:1] + w[2:3] for w in line_groups_by_brute_force(texts, lambda a, b: edit_similarity(a, b) >= 0.8 - 1e-9)}
+    assert len(found ^ want) <= 0.05 * len(texts)
+
+
+@pytest.fixture
+def small_files(spark, tmp_path):
+    """Documents in several small files, whose packing into tasks follows the session's settings."""
+    rnd = random.Random(23)
+    word = lambda: f"w{rnd.randrange(4000)}"
+    base = [" ".join(word() for _ in range(40)) for _ in range(300)]
+    rows = [(i, t) for i, t in enumerate(base)] + [(300 + i, t) for i, t in enumerate(base[:150])]
+    rows += [(rows[7][0], rows[7][1])] * 3
+    rnd.shuffle(rows)
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(9).write.parquet(path)
+    return path
+
+
+@pytest.mark.parametrize("drop", [X.drop_exact_duplicates, simhash.drop_near_duplicates, L.drop_repeated_lines])
+def test_files_packed_otherwise_between_passes(spark, small_files, drop):
+    """The rows that stay are the right ones, though the second pass reads the files in other tasks than the first."""
+    spark.conf.set("spark.sql.files.openCostInBytes", "1024")
+    try:
+        spark.conf.set("spark.sql.files.minPartitionNum", "2")
+        out = drop(spark.read.parquet(small_files))
+        spark.conf.set("spark.sql.files.minPartitionNum", "8")
+        kept = Counter(r.doc_id for r in out.collect() if r.text)
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert kept == Counter(range(300))
+
+
+def test_text_ids_and_clashing_names(spark):
+    """doc_id of another type, and columns named like those that the operators add."""
+    rows = [("b", "one two three four five six seven", 1, 2, 3), ("a", "one two  three four five six seven", 1, 2, 3), (None, "One two", 4, 5, 6), ("c", None, 4, 5, 6)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, file long, row long, slot long").withColumnsRenamed({})
+    kept = X.drop_exact_duplicates(docs)
+    assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} == {rows[1], rows[2], rows[3]}
+    assert {r.keep_id for r in X.exact_groups(docs).collect()} == {"a", None, "c"}
+    assert {tuple(r) for r in simhash.drop_near_duplicates(docs).collect()} == {rows[1], rows[2], rows[3]}
+    assert L.drop_repeated_lines(docs).columns == docs.columns
+
+
 def test_lines_of_nothing(no_docs):
     assert L.line_groups(no_docs).count() == 0
 
