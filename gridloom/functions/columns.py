@@ -23,16 +23,21 @@ _COMPILED = to_arrow_type(COMPILED)
 _REF_NAMES = REF.names
 
 
+def _once(columns: list[pa.Array], make, kind: pa.DataType) -> pa.Array:
+    """``make`` of each row's values, called and turned to Arrow once per distinct row; null where the first value is null."""
+    number: dict = {}
+    codes = [None if row[0] is None else number.setdefault(row, len(number)) for row in zip(*(c.to_pylist() for c in columns))]
+    return pa.array([make(*row) for row in number], kind).take(pa.array(codes, pa.int32()))
+
+
+def _compiled_row(text: str, sheet: str, row: int, col: int) -> dict:
+    spelled, refs, kind, message = formula.compiled(text, sheet, row, col)
+    return {"r1c1": spelled, "refs": [dict(zip(_REF_NAMES, x)) for x in refs], "error_kind": kind, "error_msg": message}
+
+
 @F.arrow_udf(COMPILED)
 def _compile(text: pa.Array, sheet: pa.Array, row: pa.Array, col: pa.Array) -> pa.Array:
-    out = []
-    for t, s, r, c in zip(text.to_pylist(), sheet.to_pylist(), row.to_pylist(), col.to_pylist()):
-        if t is None:
-            out.append(None)
-        else:
-            spelled, refs, kind, message = formula.compiled(t, s, r, c)
-            out.append({"r1c1": spelled, "refs": [dict(zip(_REF_NAMES, x)) for x in refs], "error_kind": kind, "error_msg": message})
-    return pa.array(out, _COMPILED)
+    return _once([text, sheet, row, col], _compiled_row, _COMPILED)
 
 
 def compile_formula(text, sheet, row, col) -> Column:
@@ -42,16 +47,7 @@ def compile_formula(text, sheet, row, col) -> Column:
 
 @F.arrow_udf(_REAL)
 def similarity(a: pa.Array, b: pa.Array) -> pa.Array:
-    known: dict = {}
-    out = []
-    for x, y in zip(a.to_pylist(), b.to_pylist()):
-        if x is None or y is None:
-            out.append(None)
-            continue
-        if (x, y) not in known:
-            known[x, y] = formula.ratio(x, y)
-        out.append(known[x, y])
-    return pa.array(out, pa.float64())
+    return _once([a, b], lambda x, y: None if y is None else formula.ratio(x, y), pa.float64())
 
 
 SHIFT = _struct(axis=_TEXT, end=_TEXT, expected=_INT, found=_INT)
@@ -60,8 +56,11 @@ _SHIFT = to_arrow_type(SHIFT)
 
 @F.arrow_udf(SHIFT)
 def boundary_shift(pattern: pa.Array, other: pa.Array) -> pa.Array:
-    found = [formula.boundary_shift(a, b) if a is not None and b is not None else None for a, b in zip(pattern.to_pylist(), other.to_pylist())]
-    return pa.array([None if x is None else dict(zip(("axis", "end", "expected", "found"), x)) for x in found], _SHIFT)
+    def shift(a: str, b: str | None) -> dict | None:
+        found = formula.boundary_shift(a, b) if b is not None else None
+        return found and dict(zip(SHIFT.names, found))
+
+    return _once([pattern, other], shift, _SHIFT)
 
 
 _DRIFT_NAMES = ("axis", "target", "expected_style", "expected", "found_style", "found")
@@ -71,11 +70,11 @@ _DRIFT = to_arrow_type(DRIFT)
 
 @F.arrow_udf(DRIFT)
 def anchoring_drift(pattern: pa.Array, other: pa.Array, row: pa.Array, col: pa.Array) -> pa.Array:
-    out = []
-    for a, b, r, c in zip(pattern.to_pylist(), other.to_pylist(), row.to_pylist(), col.to_pylist()):
-        found = formula.anchoring_drift(a, b, r, c) if a is not None and b is not None else None
-        out.append(None if found is None else [dict(zip(_DRIFT_NAMES, x)) for x in found])
-    return pa.array(out, _DRIFT)
+    def drift(a: str, b: str | None, r: int, c: int) -> list[dict] | None:
+        found = formula.anchoring_drift(a, b, r, c) if b is not None else None
+        return found and [dict(zip(_DRIFT_NAMES, x)) for x in found]
+
+    return _once([pattern, other, row, col], drift, _DRIFT)
 
 
 @F.arrow_udf(_TEXT)
@@ -110,10 +109,17 @@ def qualified(sheet: Column, row: Column, col: Column) -> Column:
     return F.concat(sheet, F.lit("!"), address(row, col))
 
 
+_AZ, _09 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+
 def address_parts(text: Column) -> Column:
-    """``$B$4`` -> struct(col_abs, col, row_abs, row)."""
-    part = lambda k: F.regexp_extract(text, r"^(\$?)([A-Za-z]{1,3})(\$?)(\d+)$", k)
-    return F.struct((part(1) == "$").alias("col_abs"), F.upper(part(2)).alias("col"), (part(3) == "$").alias("row_abs"), part(4).cast("int").alias("row"))
+    """``$B$4`` -> struct(col_abs, col, row_abs, row); null if that doesn't spell the text."""
+    text = F.upper(text)
+    col_abs, row_abs = F.startswith(text, F.lit("$")), F.locate("$", text, 2) > 0
+    col, row = F.translate(text, "$" + _09, ""), F.translate(text, "$" + _AZ, "")
+    sign = lambda there: F.when(there, F.lit("$")).otherwise(F.lit(""))
+    sound = F.char_length(col).between(1, 3) & (row != "") & (F.concat(sign(col_abs), col, sign(row_abs), row) == text) & (F.translate(col, _AZ, "") == "") & (F.translate(row, _09, "") == "")
+    return F.when(sound, F.struct(col_abs.alias("col_abs"), col.alias("col"), row_abs.alias("row_abs"), row.try_cast("int").alias("row")))
 
 
 def display(cell) -> Column:
@@ -127,15 +133,7 @@ def display(cell) -> Column:
     )
 
 
-def base_shape(pattern: Column) -> Column:
-    """The shape a pattern suggests: growth_chain, variance, category_total, trailing_sum or unrecognized."""
-    token = r"R(?:\[-?\d+\]|\d+)C(?:\[-?\d+\]|\d+)"
-    part = lambda regex, k: F.regexp_extract(pattern, regex, k)
-    variance, total = r"^\(R\[(-?\d+)\]C\[0\]-R\[(-?\d+)\]C\[0\]\)$", r"^SUM\(R\[(-?\d+)\]C\[(-?\d+)\]:R\[(-?\d+)\]C\[(-?\d+)\]\)$"
-    return (
-        F.when(pattern.rlike(rf"^\(R\[0\]C\[-1\]\*\(1\+{token}\)\)$"), "growth_chain")
-        .when(pattern.rlike(variance) & (part(variance, 1) != part(variance, 2)), "variance")
-        .when(pattern.rlike(total) & (part(total, 2) == part(total, 4)), "category_total")
-        .when(pattern.rlike(total) & (part(total, 1) == part(total, 3)), "trailing_sum")
-        .otherwise("unrecognized")
-    )
+@F.arrow_udf(_TEXT)
+def base_shape(pattern: pa.Array) -> pa.Array:
+    """The shape a pattern suggests, "unrecognized" for none."""
+    return _once([pattern], formula.base_shape, pa.string())
