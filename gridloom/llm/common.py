@@ -48,8 +48,13 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in scopes.pop():
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder on any store."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -72,6 +77,10 @@ def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     scopes = _local.__dict__.get("scopes", [])
     if len(scopes) > keep:
         scopes[-1 - keep].append(path)
+    return written(df, path)
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
     with _cleaned(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

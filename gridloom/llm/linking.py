@@ -9,12 +9,12 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_prefilter, materialize, scratch
+from .common import key_prefilter, materialize, scratch, without
 
 #: Rows of a bucket on either side of one cell of its comparisons: a crowded bucket is dealt to many tasks, cell by cell.
 CELL = 512
-#: Comparisons of a bucket above which it is first split by ``refine``, where there is one.
-CROWDED = 1 << 14
+#: Rows of a bucket above which it is first split by ``refine``, where there is one.
+CROWDED = 128
 #: Times that a bucket may be split.
 SPLITS = 2
 
@@ -87,7 +87,7 @@ def _beside(pairs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def _across(crossed: DataFrame, payload: list[str], close: Column) -> DataFrame:
-    """Pairs (a, b) of a key that lie in two components, one of them not the largest, and are close.
+    """Rows with those of the same key that lie in another component, one of them not in the key's largest, and are close: as ``other``.
 
     ``crossed``: id, key, comp, largest, size, away (rows, and rows outside the largest component, of the key) and the payload. The
     comparisons of a key form a grid of cells of CELL x CELL rows at most, each a join key of its own, so a crowded key is spread over tasks.
@@ -97,8 +97,7 @@ def _across(crossed: DataFrame, payload: list[str], close: Column) -> DataFrame:
     outside = crossed.where("comp <> largest").select("key", cells("away", 1).alias("i"), F.struct("id", "comp", *payload).alias("other"), "size")
     outside = outside.select("key", "i", every("size").alias("j"), "other")
     inside = crossed.select("id", "key", "comp", *payload, cells("size", 2).alias("j"), every("away").alias("i"))
-    rest = outside.join(inside, ["key", "i", "j"]).where((F.col("other.comp") != F.col("comp")) & close)
-    return rest.select(F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b")).distinct()
+    return outside.join(inside, ["key", "i", "j"]).where((F.col("other.comp") != F.col("comp")) & close)
 
 
 def near_components(
@@ -108,6 +107,7 @@ def near_components(
     items: DataFrame | None = None,
     label: str = "near",
     refine: Callable[[DataFrame], DataFrame] | None = None,
+    confirm: tuple[Callable[[Side, Side], Column], Callable[[Column, Column], Column]] | None = None,
 ) -> DataFrame:
     """Components of the rows (id, key, ...) that link: they share a key, and ``near`` and ``verify`` hold.
 
@@ -116,57 +116,72 @@ def near_components(
     by id. ``verify`` takes candidates (a, b) and returns those that hold. Returns (id, root) for the ids that have a link.
 
     Exact, yet without all pairs of a crowded bucket: first every row of a bucket is compared with the bucket's
-    least row only (of those, ``verify`` gets one an item), and components are formed; a link that this misses joins two
+    least row only (of those, ``verify`` gets the closest one of an item), and components are formed; a link that this misses joins two
     different components, so at least one of its ends is outside the bucket's largest component. Those rows, and only those,
     are then compared with all rows of their bucket that belong to another component, in cells of bounded size. ``near`` is part of
     that join's condition, so pairs that fail it are never made.
 
-    ``refine`` takes rows of buckets in which that is more than CROWDED comparisons, and returns them under narrower keys;
-    what is found then is what those keys find. Without it (and after SPLITS times) such buckets are compared as they are.
+    ``refine`` takes rows of buckets of more than CROWDED rows, and returns them under narrower keys; what is found then is what those keys
+    find. After SPLITS times such buckets are compared as they are. ``confirm`` (with a column ``weight`` in the rows): a distance of two rows, and
+    a condition on a pair's weights summed over the keys that it shares, and its distance.
     """
     spark = keyed.sparkSession
     check = verify or (lambda pairs: pairs)
     payload = [c for c in (keyed if items is None else items).columns if c not in ("id", "key", "used")]
-    close = near(F.col, lambda c: F.col("other")[c])
+    other = lambda c: F.col("other")[c]
+    close = near(F.col, other)
+
+    def pairs_of(beside: DataFrame, *ids: Column) -> DataFrame:
+        """Distinct pairs (a, b, d) of the rows beside each other that are confirmed."""
+        if not confirm:
+            return beside.select(*ids, F.lit(0).alias("d")).distinct()
+        distance, sound = confirm
+        each = beside.select(*ids, F.least("weight", "other.weight").alias("w"), distance(F.col, other).alias("d"))
+        return each.groupBy("a", "b").agg(F.sum("w").alias("w"), F.min("d").alias("d")).where(sound(F.col("w"), F.col("d"))).drop("w")
+
+    with scratch(spark):
+        parts = []
+        for turn in range(SPLITS + 1 if refine else 1):
+            shared = keyed.groupBy("key").agg(F.min("id").alias("one"), F.max("id").alias("two")).where("one <> two").select("key")
+            shared = materialize(shared, f"{label}-keys")
+            rows = materialize(key_prefilter(keyed, "key", shared).join(shared, "key", "left_semi").dropDuplicates(["key", "id"]), f"{label}-rows")
+            if refine and turn < SPLITS:
+                crowds = materialize(rows.groupBy("key").count().where(F.col("count") > CROWDED).select("key"), f"{label}-crowds")
+                if not crowds.isEmpty():
+                    parts.append(without(rows, "key", crowds).drop("used"))
+                    keyed = materialize(refine(key_prefilter(rows, "key", crowds).join(crowds, "key", "left_semi")), f"{label}-split")
+                    continue
+            parts.append(rows.drop("used"))
+            break
+        rows = reduce(DataFrame.unionByName, parts)
 
-    def stars_of(rows: DataFrame) -> DataFrame:
         if items is None:
             least = rows.groupBy("key").agg(F.min(F.struct("id", *payload)).alias("other"))
-            stars = rows.join(least, "key").where((F.col("id") != F.col("other.id")) & close).select(F.col("id").alias("a"), F.col("other.id").alias("b"))
+            stars = rows.join(least, "key").where((F.col("id") != F.col("other.id")) & close)
+            stars = pairs_of(stars, F.col("id").alias("a"), F.col("other.id").alias("b"))
         else:
             least = rows.groupBy("key").agg(F.min("id").alias("b"))
             stars = materialize(rows.join(least, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct(), f"{label}-candidates")
-            stars = _beside(stars, items).where(close).select("a", "b")
+            stars = _beside(stars, items).where(close).select("a", "b", F.lit(0).alias("d"))
         # where a check costs more than a comparison, one star an item is enough to begin with
-        return stars.groupBy("a").agg(F.min("b").alias("b")) if verify else stars.distinct()
-
-    with scratch(spark):
-        links = []
-        for turn in range(SPLITS + 1 if refine else 1):
-            shared = materialize(keyed.groupBy("key").agg(F.min("id").alias("one"), F.max("id").alias("two")).where("one <> two").select("key"), f"{label}-keys")
-            rows = materialize(key_prefilter(keyed, "key", shared).join(shared, "key", "left_semi").dropDuplicates(["key", "id"]), f"{label}-rows")
-            links.append(materialize(check(materialize(stars_of(rows), f"{label}-first")).select("a", "b"), f"{label}-stars"))
-            roots, known = components(reduce(DataFrame.unionByName, links), f"{label}-1"), len(links)
-            rows = rows.join(roots.withColumnRenamed("root", "comp"), "id", "left")
-            rows = materialize(rows.withColumn("comp", F.coalesce("comp", "id")), f"{label}-placed")
-            sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-            mixed = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("size"), F.max("n").alias("most"))
-            mixed = mixed.where("kinds > 1").select("key", "largest", "size", (F.col("size") - F.col("most")).alias("away"))
-            mixed = materialize(mixed, f"{label}-mixed")
-            crowded = F.col("size") * F.col("away") > CROWDED if refine and turn < SPLITS else F.lit(False)
-            crossed = key_prefilter(rows, "key", mixed).join(mixed.where(~crowded), "key")
-            if items is not None:
-                crossed = materialize(crossed, f"{label}-crossed")
-                crossed = crossed.join(key_prefilter(items, "id", crossed.select("id").distinct()), "id")
-            pairs = materialize(_across(crossed, payload, close), f"{label}-pairs")
-            if not pairs.isEmpty():
-                links.append(materialize(check(pairs).select("a", "b"), f"{label}-rest"))
-            crowds = mixed.where(crowded).select("key")
-            if not refine or crowds.isEmpty():
-                break
-            keyed = materialize(refine(key_prefilter(rows, "key", crowds).join(crowds, "key", "left_semi").drop("comp")), f"{label}-split")
-        if len(links) > known:
-            roots = components(reduce(DataFrame.unionByName, links), f"{label}-2")
+        stars = stars.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b")) if verify else stars
+        links = materialize(check(materialize(stars, f"{label}-first")).select("a", "b"), f"{label}-stars")
+        roots = components(links, f"{label}-1")
+
+        rows = rows.join(roots.withColumnRenamed("root", "comp"), "id", "left")
+        rows = materialize(rows.withColumn("comp", F.coalesce("comp", "id")), f"{label}-placed")
+        sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+        mixed = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("size"), F.max("n").alias("most"))
+        mixed = mixed.where("kinds > 1").select("key", "largest", "size", (F.col("size") - F.col("most")).alias("away"))
+        mixed = materialize(mixed, f"{label}-mixed")
+        crossed = key_prefilter(rows, "key", mixed).join(mixed, "key")
+        if items is not None:
+            crossed = materialize(crossed, f"{label}-crossed")
+            crossed = crossed.join(key_prefilter(items, "id", crossed.select("id").distinct()), "id")
+        pairs = pairs_of(_across(crossed, payload, close), F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b"))
+        pairs = materialize(pairs.drop("d"), f"{label}-pairs")
+        if not pairs.isEmpty():
+            roots = components(links.unionByName(materialize(check(pairs).select("a", "b"), f"{label}-rest")), f"{label}-2")
         return materialize(roots, label, keep=True)
 
 
