@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fresh
 from .text import PieceEncoder, gathered, pieces, ragged, release, string_bytes
 
 NONE = 1 << 30
@@ -261,11 +262,11 @@ def _binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
 def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """``docs`` with ``text`` replaced by its ids, packed as little-endian unsigned 32-bit integers, and ``n_tokens``.
 
-    ``decoded`` names a further column: the ids decoded again, as bytes.
+    ``decoded`` names a further column: the ids decoded again, as bytes. An added column whose name is taken gets an underscore in front.
     """
     rest = [c for c in docs.columns if c != "text"]
-    more = [T.StructField("n_tokens", T.LongType()), T.StructField(ids, T.BinaryType())]
-    more += [T.StructField(decoded, T.BinaryType())] if decoded else []
+    names = fresh(rest, "n_tokens", ids, *([decoded] if decoded else []))
+    more = [T.StructField(name, T.BinaryType() if k else T.LongType()) for k, name in enumerate(names)]
     schema = T.StructType([docs.schema[c] for c in rest] + more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

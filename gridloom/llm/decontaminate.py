@@ -4,11 +4,11 @@ Every batch of documents becomes a shard: its words turn into ids of the benchma
 suffixes that may hold a whole window (their run of vocabulary words is as long as the shortest window; any
 other suffix can match none) are sorted into a suffix array, and each window of each test item, i.e. the head of
 each test suffix, is binary-searched in it. Matches that continue each other are joined into longest
-verbatim matches. Word ids are looked up by hash, so each matched word is compared byte by byte.
+verbatim matches. Words are known by their bytes.
 
-Nothing is shuffled. The benchmark is cut into blocks of at most BLOCK_BYTES (an item stays whole), each
+Nothing is shuffled. The benchmark is cut into blocks of at most BLOCK_BYTES or one item, each
 broadcast alone; every shard searches the blocks one after the other, so neither its size nor that of
-the documents is bounded.
+the documents is bounded. With several blocks a shard is MANY_BYTES of text, so that a block is unpacked less often.
 
 Null or wordless texts have no words and match nothing. Repeated items count once by item_id; items whose
 id is null share the id "". Repeated documents are each judged alone. An empty table gives no rows.
@@ -23,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import LOWER, pieces, release, span_hashes, spans, string_bytes
+from .text import LOWER, coded, gathered, pieces, release, span_values, spans, string_bytes
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
 #: Bytes of text that are split into words at a time; suffixes that are sorted at a time.
 SHARD_BYTES = 2 << 20
+MANY_BYTES = 32 << 20
 SHARD_SUFFIXES = 1 << 20
 
 #: Letters of [^\x00-\x2F\x3A-\x60\x7B-\x7F] after lower-casing: digits, a-z and every byte from 0x80.
@@ -43,17 +44,11 @@ class Block:
         self.window = window
         data, at = string_bytes(pa.array([t for _, t in items], pa.large_string()))
         starts, ends, first = spans(data, at, WORD)
-        hashes = span_hashes(data, starts, ends)
         low = LOWER[data].tobytes()
         words = [low[s:e] for s, e in zip(starts.tolist(), ends.tolist())]
-        self.words = sorted(set(words))
-        of = {w: i + 1 for i, w in enumerate(self.words)}
-        found = dict(zip(words, hashes.tolist()))
-        vocabulary = np.array([found[w] for w in self.words], np.uint64)
-        order = np.argsort(vocabulary, kind="stable")
-        self.hashes, self.ids = vocabulary[order], (order + 1).astype(np.int32)
+        self.ids = {w: i + 1 for i, w in enumerate(sorted(set(words)))}
         self.names = [name for name, _ in items]
-        self.texts = [np.array([of[w] for w in words[a:b]], np.int32) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+        self.texts = [np.array([self.ids[w] for w in words[a:b]], np.int32) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
         where: dict[bytes, list[tuple[int, int]]] = {}
         for k, ids in enumerate(self.texts):
             if len(ids):
@@ -67,12 +62,9 @@ class Block:
         self.low = np.array(keys, f"S{4 * window}")
         self.high = np.array([k + b"\xff" * (4 * window - len(k)) for k in keys], f"S{4 * window}")
 
-    def lookup(self, hashes: np.ndarray) -> np.ndarray:
+    def lookup(self, words: list[bytes]) -> np.ndarray:
         """The id of each word, 0 for words that no item has."""
-        if not len(self.hashes):
-            return np.zeros(len(hashes), np.int32)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.ids[at], 0).astype(np.int32)
+        return np.array([self.ids.get(w, 0) for w in words], np.int32)
 
     def search(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(word position, window) of every occurrence, by binary search of each window in the shard's suffix array."""
@@ -101,14 +93,6 @@ class Block:
             return none, none
         return np.concatenate([a for a, _ in found]), np.concatenate([w for _, w in found])
 
-    def exact(self, ids: np.ndarray, at: np.ndarray, window: np.ndarray, word) -> tuple[np.ndarray, np.ndarray]:
-        """The occurrences whose words are the window's words byte by byte."""
-        wrong = {i for i in np.flatnonzero(covered(len(ids), at, self.sizes[window])).tolist() if word(i) != self.words[ids[i] - 1]}
-        if not wrong:
-            return at, window
-        keep = np.array([not any(p in wrong for p in range(a, a + n)) for a, n in zip(at.tolist(), self.sizes[window].tolist())], bool)
-        return at[keep], window[keep]
-
     def longest(self, at: np.ndarray, window: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item, its word, document word, words) of maximal matches: occurrences that follow each other are one."""
         pairs = sorted((k, p - i, i) for p, w in zip(at.tolist(), window.tolist()) for k, i in self.places[w])
@@ -136,12 +120,22 @@ class Benchmark:
     def __init__(self, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES):
         spark = benchmark.sparkSession
         items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.coalesce("text", F.lit("")).alias("text"))
-        total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        n = -(-total // block_bytes)
-        self.shared = []
-        for k in range(n):
-            part = items.where(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == k).distinct()
-            self.shared.append(spark.sparkContext.broadcast(Block([(r[0], r[1]) for r in part.collect()], window)))
+        self.shared, held, size = [], [], 0
+        for r in items.distinct().orderBy("name", "text").toLocalIterator(prefetchPartitions=False):
+            if held and size + len(r.text.encode()) > block_bytes:
+                self.shared.append(spark.sparkContext.broadcast(Block(held, window)))
+                held, size = [], 0
+            held.append((r.name, r.text))
+            size += len(r.text.encode())
+        if held:
+            self.shared.append(spark.sparkContext.broadcast(Block(held, window)))
+
+    def shards(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return gathered(batches, MANY_BYTES) if len(self.shared) > 1 else batches
+
+    @property
+    def shard_bytes(self) -> int:
+        return MANY_BYTES if len(self.shared) > 1 else SHARD_BYTES
 
     def __iter__(self) -> Iterator[Block]:
         for shared in self.shared:
@@ -153,19 +147,19 @@ class Benchmark:
 def _scan(column: pa.Array, blocks: Benchmark):
     """For ranges of documents: (first document, end, words per document, hit words, item names, matches)."""
     data, offsets = string_bytes(column)
-    for lo, hi in pieces(offsets, SHARD_BYTES):
+    for lo, hi in pieces(offsets, blocks.shard_bytes):
         part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         starts, ends, first = spans(part, at, WORD)
-        hashes = span_hashes(part, starts, ends)
+        values, codes = coded(span_values(part, starts, ends))
+        words = values.to_pylist()
         hit = np.zeros(len(starts), bool)
         names: dict[int, set[str]] = {}
         matches: list[tuple[int, str, int, int, int]] = []
         for block in blocks:
-            ids = block.lookup(hashes)
+            ids = block.lookup(words)[codes]
             found, window = block.search(ids, first)
             if not len(found):
                 continue
-            found, window = block.exact(ids, found, window, lambda i: LOWER[part[starts[i] : ends[i]]].tobytes())
             hit |= covered(len(starts), found, block.sizes[window])
             doc = np.searchsorted(first, found, "right") - 1
             order = np.argsort(doc, kind="stable")
@@ -185,7 +179,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in blocks.shards(batches):
             ids = batch.column(0)
             for lo, hi, n_words, n_hit, names, _ in _scan(batch.column(1), blocks):
                 items = [sorted(names.get(d, ())) for d in range(hi - lo)]
@@ -204,7 +198,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in blocks.shards(batches):
             for *_, matches in _scan(batch.column(1), blocks):
                 if matches:
                     at = pa.array([m[0] for m in matches], pa.int64())

@@ -6,8 +6,9 @@ expectation-maximisation estimates the proportions. The set of languages is sele
 starting from all, the least one goes as long as half a log of the word count outweighs the likelihood lost.
 The prediction is the largest proportion of the selected set, and the score is that proportion.
 
-Training counts are summed per task before the shuffle; the model is MODEL_BUCKETS floats per language, and more than
-MAX_LANGUAGES raise, so what is broadcast has a fixed bound. Scoring is one pass without a shuffle.
+Training counts are summed per task before the shuffle. The model is a float per language and bucket of trigrams, of MODEL_CELLS in all:
+MODEL_BUCKETS buckets up to 256 languages, half as many for twice as many languages, and so on to LEAST_BUCKETS, so what is broadcast has a fixed
+bound up to 65,536 languages. Scoring is one pass without a shuffle, over as many words at a time as languages leave room for.
 
 ``und`` with score 0: a null text, a text without a letter, or any text when nothing was learned. Rows are judged
 alone, repeated or not. Ties go to the language that sorts first.
@@ -23,14 +24,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold
-from .text import LOWER, pieces, release, span_hashes, spans, string_bytes
+from .common import fold, fresh
+from .text import LOWER, coded, pieces, release, span_values, spans, string_bytes
 
-MODEL_BUCKETS = 1 << 16
-MAX_LANGUAGES = 256
+MODEL_BUCKETS, LEAST_BUCKETS = 1 << 16, 1 << 8
+MODEL_CELLS = 1 << 24
 SMOOTHING = 0.5
 ROUNDS = 8
 PIECE_BYTES = 2 << 20
+#: Words times languages whose likelihoods are computed at a time.
+PIECE_CELLS = 2 << 20
+#: Languages whose counts a task holds before it hands them on.
+HELD = 64
 #: A document above this many bytes is judged by its distinct words and their counts.
 LARGE = 8 << 20
 
@@ -55,30 +60,33 @@ class Model:
         """counts: buckets x languages."""
         self.languages = languages
         total = counts.sum(axis=0)
-        self.logp = np.log((counts + SMOOTHING) / (total + SMOOTHING * MODEL_BUCKETS)).astype(np.float32)
+        self.fold = np.uint32(int(MODEL_BUCKETS // len(counts)).bit_length() - 1)
+        self.logp = np.log((counts + SMOOTHING) / (total + SMOOTHING * len(counts))).astype(np.float32)
+        self.piece_bytes = max(1 << 12, PIECE_BYTES * 8 // max(8, len(languages)))
 
     def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(log likelihoods, counts, first row of each document) of the words, a chunk at a time."""
         starts, ends, first = spans(data, offsets, LETTER)
         one = len(offsets) == 2 and len(data) > LARGE
-        held, keys, step = [], [], max(1, PIECE_BYTES // 4)
+        held, keys, step = [], [], max(1, PIECE_CELLS // max(4, len(self.languages)))
         for a in range(0, len(starts), step):
             s, e = starts[a : a + step], ends[a : a + step]
             lo, hi = int(s[0]), int(e[-1])
             grams = trigrams(data[lo:hi], np.concatenate([[0], offsets[(offsets > lo) & (offsets < hi)] - lo, [hi - lo]]))
-            values = np.add.reduceat(np.where(LETTER[data[lo:hi], None], self.logp[grams], 0), s - lo, axis=0)
+            values = np.add.reduceat(np.where(LETTER[data[lo:hi], None], self.logp[grams >> self.fold], 0), s - lo, axis=0)
             if one:
-                h = span_hashes(data[lo:hi], s - lo, e - lo)
-                unique, at, n = np.unique(h, return_index=True, return_counts=True)
-                keys.append((unique, n))
-                values = values[at]
+                distinct, codes = coded(span_values(data[lo:hi], s - lo, e - lo))
+                keys.append((distinct, np.bincount(codes, minlength=len(distinct))))
+                values = values[np.unique(codes, return_index=True)[1]]
             held.append(values)
         ll = np.concatenate(held or [np.zeros((0, len(self.languages)), np.float32)])
         if not one:
             return ll, np.ones(len(ll), np.float32), first
-        h, n = np.concatenate([k for k, _ in keys] or [[]]), np.concatenate([n for _, n in keys] or [[]])
-        _, at, which = np.unique(h, return_index=True, return_inverse=True)
-        return ll[at], np.bincount(which, n, len(at)).astype(np.float32), np.array([0, len(at)])
+        if not keys:
+            return ll, np.ones(0, np.float32), np.array([0, 0])
+        _, which = coded(pa.concat_arrays([k for k, _ in keys]))
+        at = np.unique(which, return_index=True)[1]
+        return ll[at], np.bincount(which, np.concatenate([n for _, n in keys])).astype(np.float32), np.array([0, len(at)])
 
     def infer(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Proportions, documents x languages; zero rows for documents without words."""
@@ -147,17 +155,26 @@ def learn(docs: DataFrame) -> Model:
                     mine = inside & np.repeat(names == name, np.diff(at))
                     sums.setdefault(name, np.zeros(MODEL_BUCKETS, np.int64))
                     sums[name] += np.bincount(grams[mine], minlength=MODEL_BUCKETS)
+                    if len(sums) >= HELD:
+                        yield from map(counted, sums.items())
+                        sums = {}
         release()
-        for name, n in sums.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "gram", "n"])
-
-    rows = docs.where("lang IS NOT NULL").select("lang", "text").mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    found = rows.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("gram", "n"))).alias("grams")).limit(MAX_LANGUAGES + 1).collect()
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+        yield from map(counted, sums.items())
+
+    def counted(item: tuple[str, np.ndarray]) -> pa.RecordBatch:
+        at = np.flatnonzero(item[1])
+        return pa.RecordBatch.from_arrays([pa.array([item[0]] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(item[1][at])], ["lang", "gram", "n"])
+
+    known = docs.where("lang IS NOT NULL").select("lang", "text")
+    n = known.agg(F.count_distinct("lang")).first()[0]
+    buckets = MODEL_BUCKETS
+    while buckets > LEAST_BUCKETS and buckets * n > MODEL_CELLS:
+        buckets //= 2
+    rows = known.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", F.expr(f"gram div {MODEL_BUCKETS // buckets}").cast("int").alias("gram")).agg(F.sum("n").alias("n"))
+    # a language whose texts hold no word taught nothing
+    found = rows.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("gram", "n"))).alias("grams")).collect()
     found.sort(key=lambda r: r.lang)
-    counts = np.zeros((MODEL_BUCKETS, len(found)))
+    counts = np.zeros((buckets, len(found)))
     for k, r in enumerate(found):
         counts[[g.gram for g in r.grams], k] = [g.n for g in r.grams]
     return Model([r.lang for r in found], counts)
@@ -173,8 +190,12 @@ def _has_letter(column: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.n
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs(doc_id, ..., text)`` with text replaced by lang_pred, score, languages and proportions (of the selected set)."""
+    """``docs(..., text)`` with text replaced by lang_pred, score, languages and proportions (of the selected set).
+
+    Where ``docs`` has a column of such a name, the added one gets an underscore in front.
+    """
     rest = [c for c in docs.columns if c != "text"]
+    names = fresh(rest, "lang_pred", "score", "languages", "proportions")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,10 +203,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             column = batch.column(len(rest))
             data, offsets = string_bytes(column)
-            for lo, hi in pieces(offsets, PIECE_BYTES):
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[: len(rest)]), *_columns(own, column.slice(lo, hi - lo), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])], names=[*rest, "lang_pred", "score", "languages", "proportions"])
+            for lo, hi in pieces(offsets, own.piece_bytes):
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[: len(rest)]), *_columns(own, column.slice(lo, hi - lo), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])], names=[*rest, *names])
 
-    more = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("languages", T.ArrayType(T.StringType())), T.StructField("proportions", T.ArrayType(T.DoubleType()))]
+    kinds = [T.StringType(), T.DoubleType(), T.ArrayType(T.StringType()), T.ArrayType(T.DoubleType())]
+    more = [T.StructField(name, kind) for name, kind in zip(names, kinds)]
     return docs.select(*rest, "text").mapInArrow(run, T.StructType([docs.schema[c] for c in rest] + more))
 
 
@@ -210,17 +232,20 @@ def predict(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """``docs`` (any columns) without the texts that are in no learned language (``und``)."""
+    """``docs`` (any columns) without the texts that are in no learned language (``und``), and with ``lang`` as inferred from the text.
+
+    A label that was null or wrong becomes the language with the largest proportion of the document's selected set.
+    """
     model = learn(docs.select("lang", "text", (fold(F.col("doc_id"), 4) == 2).alias("out")).where("NOT out"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("boolean")
-    def known(text: pa.Array) -> pa.Array:
+    @F.arrow_udf("string")
+    def language(text: pa.Array) -> pa.Array:
         data, offsets = string_bytes(text)
-        out = []
-        for lo, hi in pieces(offsets, PIECE_BYTES):
-            out += _columns(shared.value, text.slice(lo, hi - lo), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])[0].to_pylist()
+        out = [pa.array([], pa.string())]
+        for lo, hi in pieces(offsets, shared.value.piece_bytes):
+            out.append(_columns(shared.value, text.slice(lo, hi - lo), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])[0])
         release()
-        return pa.array([p != "und" for p in out], pa.bool_())
+        return pa.concat_arrays(out)
 
-    return docs.where(known("text"))
+    return docs.withColumn("lang", language("text")).where("lang <> 'und'").select(*docs.columns)

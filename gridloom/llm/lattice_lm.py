@@ -1,19 +1,21 @@
 """Document probability under a subword lattice.
 
-The pieces and their order come from an existing vocabulary (its scores give the starting weights); their unigram
-probabilities are learned from the training documents' words by expectation-maximisation over all segmentations.
-Words are lower-cased runs of non-blanks with one space in front; pieces hold a space at their head or not at all, so
-words segment independently and a distinct word is scored once for the whole corpus. A word's
-probability is the marginal over all its segmentations, by forward recursion in log space. A word that training has seen
-is a piece as well, with its count less an absolute discount as weight; the discounts' sum is the weight of
-all other segmentations, half of it for those that begin with a seen word and end in punctuation. Single bytes are always pieces, so any text has a probability, and those of all texts sum to one.
-
-``base_score`` is the add-0.1 word unigram. Both need each word's corpus count. Words are counted per
-task, then by hash (64 bits) across tasks; the FREQUENT most frequent ones are broadcast (a fixed bound), and the tokens
+The pieces are those of an existing vocabulary, and its scores weight all segmentations of the training words: the expected number of
+uses of each piece under them, added to the scores as pseudo-counts, makes the pieces' unigram probabilities. Words are
+lower-cased runs of non-blanks with one space in front; pieces hold a space at their head or not at all, so
+words segment independently, a distinct word is scored once for the whole corpus, and the marginals of all words sum to one. A word's
+probability is the marginal over all its segmentations, by forward recursion in log space. Single bytes are always pieces, so any text has a
+probability. ``score`` is the log10 of a document's: after each word the text ends or goes on, at the training rows' rate, so those of all texts
+sum to one. ``existing_score`` is the same under the vocabulary's scores alone, without anything learned but that rate.
+
+``mixed_score`` mixes in whole words: a word that training has seen is a piece as well, with its count less an absolute discount as weight;
+the discounts' sum is the weight of all other segmentations, half of it for those that begin with a seen word and end in punctuation.
+``base_score`` is the add-0.1 word unigram. Both need each word's corpus count. Words are counted per task, then across tasks, and told apart by their
+bytes; the FREQUENT most frequent ones are broadcast (a fixed bound), and the tokens
 that remain meet their counts in a join. No table as large as the corpus's vocabulary is ever in one place.
 
 A null text is empty and holds the end token only. Repeated rows are scored alike, each by itself. Without training
-words the pieces keep their starting weights, and a word and the end are each as likely as not.
+words the pieces keep the vocabulary's weights, and a word and the end are each as likely as not.
 """
 
 from __future__ import annotations
@@ -23,24 +25,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import fold, materialize
-from .text import BLANK, LOWER, pieces, span_hashes, spans, string_bytes
+from .common import fold, materialize, placed
+from .text import BLANK, coded, pieces, span_values, spans, string_bytes
 
 FREQUENT = 1 << 18
-EM_ROUNDS = 2
 PART_BYTES = 2 << 20
-#: Distinct words a task gathers before it hands them on; bytes of words in one lattice; longest piece.
+#: Distinct words a task gathers before it hands them on; bytes of words in one lattice; longest word that is walked among others.
 GATHER = 1_200_000
 LATTICE_BYTES = 1 << 20
 LONG_WORD = 256
-PIECE_PSEUDO = 0.1
+#: Uses of pieces that the vocabulary's scores count for, in all.
+PRIOR_PIECES = 10_000.0
 #: Candidates for the absolute discount; of what it frees, the share of known words with other punctuation behind them.
 DISCOUNTS = (0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9)
 CORE_SHARE = 0.5
+#: What is summed over a text's words.
+SCORES = ["base", "lattice", "plain", "model"]
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -218,37 +224,31 @@ def _logsum(x: np.ndarray) -> np.ndarray:
         return safe + np.log(np.exp(x - safe).sum(axis=0))
 
 
-def _words(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple]:
-    """By pieces: (first document, end, bytes, starts, ends, first words, hashes)."""
+def _words(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, pa.Array, np.ndarray]]:
+    """By pieces: (first document, end, first word of each document and the end, distinct words, number of each word among them)."""
     for lo, hi in pieces(offsets, PART_BYTES):
         part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         starts, ends, first = spans(part, at, ~BLANK)
-        yield lo, hi, part, starts, ends, first, span_hashes(part, starts, ends)
+        yield lo, hi, first, *coded(span_values(part, starts, ends))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """Distinct words of rows(learn, tune, text): hash, word (lower-cased, a space in front), c (occurrences in
+    """Distinct words of rows(learn, tune, text): word (lower-cased), c (occurrences in
     rows to learn from) and dev (those of them that are also rows to tune on)."""
 
     def merged(parts: list[tuple]) -> tuple:
-        h, c, d = (np.concatenate([p[k] for p in parts]) for k in range(3))
-        w = pa.concat_arrays([p[3] for p in parts])
-        unique, at, which = np.unique(h, return_index=True, return_inverse=True)
-        return unique, *(np.bincount(which, n, len(unique)).astype(np.int64) for n in (c, d)), w.take(pa.array(at))
+        words, which = coded(pa.concat_arrays([p[0] for p in parts]))
+        return words, *(np.bincount(which, np.concatenate([p[k] for p in parts]), len(words)).astype(np.int64) for k in (1, 2))
 
     def batch_of(part: tuple) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(part[0].view(np.int64)), part[3], pa.array(part[1]), pa.array(part[2])], ["hash", "word", "c", "dev"])
+        return pa.RecordBatch.from_arrays([part[0].cast(pa.binary()), pa.array(part[1]), pa.array(part[2])], ["word", "c", "dev"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
             learn, tune = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2))
-            for lo, hi, part, starts, ends, first, hashes in _words(*string_bytes(batch.column(2))):
-                unique, at, which = np.unique(hashes, return_index=True, return_inverse=True)
-                c, d = (np.bincount(which, np.repeat(x[lo:hi], np.diff(first)), len(unique)).astype(np.int64) for x in (learn, tune))
-                low = LOWER[part].tobytes()
-                words = pa.array([b" " + low[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())], pa.binary())
-                held.append((unique, c, d, words))
+            for lo, hi, first, words, which in _words(*string_bytes(batch.column(2))):
+                held.append((words, *(np.bincount(which, np.repeat(x[lo:hi], np.diff(first)), len(words)).astype(np.int64) for x in (learn, tune))))
                 if sum(len(x[0]) for x in held) > GATHER:
                     held = [merged(held)]
                     if len(held[0][0]) > GATHER // 2:
@@ -256,37 +256,32 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if held:
             yield batch_of(merged(held))
 
-    each = docs.select("learn", (F.col("learn") & F.col("tune")).alias("tune"), "text").mapInArrow(count, "hash long, word binary, c long, dev long")
-    return each.groupBy("hash").agg(F.min("word").alias("word"), F.sum("c").alias("c"), F.sum("dev").alias("dev"))
+    each = docs.select("learn", (F.col("learn") & F.col("tune")).alias("tune"), "text").mapInArrow(count, "word binary, c long, dev long")
+    return each.groupBy("word").agg(F.sum("c").alias("c"), F.sum("dev").alias("dev"))
 
 
-def learn_pieces(words: DataFrame, path: str, rounds: int = EM_ROUNDS) -> tuple[list[bytes], np.ndarray]:
-    """(pieces, log probabilities) by expectation-maximisation over the words of ``words(word, c)`` with c > 0.
+def _spaced(words: pa.Array) -> list[bytes]:
+    return [b" " + w for w in words.to_pylist()]
 
-    Each word counts once: the pieces have to explain words that weren't seen, and frequent words are pieces themselves.
 
-    A round sends one sum per piece to the driver, i.e. as many rows as the vocabulary has.
+def learn_pieces(words: DataFrame, surfaces: list[bytes], logp: np.ndarray) -> np.ndarray:
+    """Log probabilities of the pieces: their expected uses in ``words(word, c)``, each word c times, under ``logp``, which counts for PRIOR_PIECES uses.
+
+    One sum per piece reaches the driver, i.e. as many rows as the vocabulary has.
     """
-    surfaces, logp = vocabulary_pieces(path)
-    spark = words.sparkSession
-    for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(Lattice(surfaces, logp))
-
-        def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            lattice, sums = shared.value, np.zeros(len(surfaces))
-            for batch in batches:
-                sums += lattice.run(batch.column(0).to_pylist(), batch.column(1).to_numpy())[1]
-            at = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], ["piece", "n"])
-
-        sums = words.where("c > 0").select("word", F.lit(1).cast("long").alias("c")).mapInArrow(expect, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-        weight = np.full(len(surfaces), PIECE_PSEUDO)
-        for r in sums:
-            weight[r.piece] += r.n
-        if not sums:
-            break
-        logp = np.log(weight / weight.sum())
-    return surfaces, logp
+    shared = words.sparkSession.sparkContext.broadcast(Lattice(surfaces, logp))
+
+    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice, sums = shared.value, np.zeros(len(surfaces))
+        for batch in batches:
+            sums += lattice.run(_spaced(batch.column(0)), batch.column(1).to_numpy())[1]
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], ["piece", "n"])
+
+    weight = PRIOR_PIECES * np.exp(logp)
+    for r in words.where("c > 0").select("word", "c").mapInArrow(expect, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():
+        weight[r.piece] += r.n
+    return np.log(weight / weight.sum())
 
 
 def _add(x: Column, y: Column) -> Column:
@@ -304,7 +299,7 @@ def _model(c: Column, core: Column, tokens: int, seen: int, discount: float) ->
 
 
 def score(docs: DataFrame, path: str, train: str, tune: str, frequent: int = FREQUENT) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, existing_score, mixed_score.
 
     ``train``: name of a boolean column; the model learns from the rows where it holds. The discount is the one of
     DISCOUNTS under which the rest of them best explains those where ``tune`` holds.
@@ -317,29 +312,26 @@ def score(docs: DataFrame, path: str, train: str, tune: str, frequent: int = FRE
     sums = words.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1)), F.sum("dev"), F.count(F.when(F.col("c") > F.col("dev"), 1))).first()
     tokens, seen = (sums[0] or 0) + n_train, sums[1]
     distinct = seen + (n_train > 0)
-    surfaces, logp = learn_pieces(words, path)
-    lattice = Lattice(surfaces, logp)
-    shared = spark.sparkContext.broadcast(lattice)
+    surfaces, existing = vocabulary_pieces(path)
+    logp = learn_pieces(words, surfaces, existing)
+    shared = spark.sparkContext.broadcast((Lattice(surfaces, existing), Lattice(surfaces, logp)))
     to_space = math.log10(sum(math.exp(p) for s, p in zip(surfaces, logp.tolist()) if s[:1] == b" "))
 
     def marginal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain, learned = shared.value
         for batch in batches:
-            own = batch.column(1).to_pylist()
-            found, _ = shared.value.run(own)
+            own = _spaced(batch.column(0))
             stems = [w.rstrip(PUNCTUATION) for w in own]
             some = np.array([1 < len(s) < len(w) for s, w in zip(stems, own)], bool)
             at = np.flatnonzero(some).tolist()
             tails, which = np.unique(np.array([own[k][len(stems[k]) :] for k in at], object), return_inverse=True) if at else (np.zeros(0, object), np.zeros(0, int))
             tail = np.zeros(len(own))
-            tail[some] = (shared.value.run(tails.tolist())[0] / math.log(10) + to_space)[which]
-            joined = np.frombuffer(b"".join([stems[k][1:] for k in at]), np.uint8)
-            ends = np.cumsum([len(stems[k]) - 1 for k in at], dtype=np.int64)
-            core = np.zeros(len(own), np.int64)
-            core[some] = span_hashes(joined, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends).view(np.int64) if at else 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(found / math.log(10)), pa.array(core, mask=~some), pa.array(tail)], ["hash", "c", "dev", "q", "core", "tail"])
-
-    parts = words.select("hash", "word", "c", "dev").mapInArrow(marginal, "hash long, c long, dev long, q double, core long, tail double")
-    cores = words.where("c > 0").select(F.col("hash").alias("core"), F.col("c").alias("core_c"), F.col("dev").alias("core_dev"))
+            tail[some] = (learned.run(tails.tolist())[0] / math.log(10) + to_space)[which]
+            core = pa.array([s[1:] if k else None for s, k in zip(stems, some.tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x.run(own)[0] / math.log(10)) for x in (plain, learned)), core, pa.array(tail)], ["word", "c", "dev", "p", "q", "core", "tail"])
+
+    parts = words.select("word", "c", "dev").mapInArrow(marginal, "word binary, c long, dev long, p double, q double, core binary, tail double")
+    cores = words.where("c > 0").select(F.col("word").alias("core"), F.col("c").alias("core_c"), F.col("dev").alias("core_dev"))
     # words without a core don't take part in the join, so no key is hot: a core has as many words as it has tails
     with_core = parts.where("core IS NOT NULL").join(cores, "core", "left")
     parts = parts.where("core IS NULL").withColumns({"core_c": F.lit(None).cast("long"), "core_dev": F.lit(None).cast("long")}).unionByName(with_core)
@@ -353,7 +345,9 @@ def score(docs: DataFrame, path: str, train: str, tune: str, frequent: int = FRE
         discount = max(zip(found, DISCOUNTS))[1] if sums[3] else discount
     scale = math.log10(tokens + 0.1 * (distinct + 1))
     end_p = n_train / tokens if seen else 0.5
-    scored = parts.select("hash", "c", (F.log10(F.col("c") + 0.1) - F.lit(scale)).alias("base"), _model(F.col("c"), F.col("core_c"), tokens, seen, discount).alias("model"))
+    go_on, stop = math.log10(1 - end_p) if end_p < 1 else 0.0, math.log10(end_p) if end_p else 0.0
+    base = F.log10(F.col("c") + 0.1) - F.lit(scale)
+    scored = parts.select("word", "c", base.alias("base"), (F.col("q") + go_on).alias("lattice"), (F.col("p") + go_on).alias("plain"), _model(F.col("c"), F.col("core_c"), tokens, seen, discount).alias("model"))
     scored = materialize(scored, "scored")
 
     # the frequent words: all counts above a limit that at most ``frequent`` words exceed
@@ -365,42 +359,37 @@ def score(docs: DataFrame, path: str, train: str, tune: str, frequent: int = FRE
             break
         least = r[0]
     top = scored.where("c > 1").where(level >= least) if least is not None else scored.where("false")
-    rows = top.select("hash", "base", "model").toPandas().sort_values("hash")
-    known = spark.sparkContext.broadcast((rows["hash"].to_numpy(np.int64), rows["base"].to_numpy(float), rows["model"].to_numpy(float)))
-    end_known, end_base, end_model = int(n_train > 0), math.log10(n_train + 0.1) - scale, math.log10(end_p)
+    rows = top.select("word", *SCORES).toArrow()
+    known = spark.sparkContext.broadcast((rows.column(0).combine_chunks().cast(pa.large_binary()), np.column_stack([rows.column(n).to_numpy() for n in SCORES])))
+    ends = (math.log10(n_train + 0.1) - scale, stop, stop, stop)
+    end_known = int(n_train > 0)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, base, model = known.value
+        keys, values = known.value
         for batch in batches:
-            for lo, hi, _, _, _, first, hashes in _words(*string_bytes(batch.column(3))):
-                h = hashes.view(np.int64)
-                at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
-                hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
+            for lo, hi, first, words, which in _words(*string_bytes(batch.column(4))):
+                found = pc.index_in(words, keys).fill_null(-1).to_numpy(zero_copy_only=False)[which]
+                hit = found >= 0
                 doc = np.repeat(np.arange(hi - lo), np.diff(first))
-                add = lambda v, end: pa.array(np.bincount(doc[hit], v, hi - lo) + end)
+                sums = [pa.array(np.bincount(doc[hit], values[found[hit], k], hi - lo) + end) for k, end in enumerate(ends)]
                 rest = np.concatenate([[0], np.cumsum(np.bincount(doc[~hit], minlength=hi - lo))])
-                tails = pa.ListArray.from_arrays(pa.array(rest, pa.int32()), pa.array(h[~hit]))
+                tails = pa.ListArray.from_arrays(pa.array(rest, pa.int32()), words.take(pa.array(which[~hit])).cast(pa.binary()))
                 n_known = np.bincount(doc[hit], minlength=hi - lo) + end_known
-                yield pa.RecordBatch.from_arrays(
-                    [*(c.slice(lo, hi - lo) for c in batch.columns[:3]), pa.array(np.diff(first) + 1), pa.array(n_known), add(base[at[hit]] if len(keys) else None, end_base), add(model[at[hit]] if len(keys) else None, end_model), tails],
-                    names=["uid", "doc_id", "learn", "n", "k", "base", "model", "tails"],
-                )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    slim = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "learn", "text")
-    partial = slim.mapInArrow(near, f"uid long, doc_id {kind}, learn boolean, n long, k long, base double, model double, tails array<long>")
-    partial = materialize(partial, "partial")
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:4]), pa.array(np.diff(first) + 1), pa.array(n_known), *sums, tails], names=schema.names)
+
+    slim, place = placed(docs)
+    file, row = place
+    slim = slim.select(F.col(file).alias("file"), F.col(row).alias("row"), "doc_id", "learn", "text")
+    more = {"n": T.LongType(), "k": T.LongType(), **dict.fromkeys(SCORES, T.DoubleType()), "tails": T.ArrayType(T.BinaryType())}
+    schema = T.StructType([*slim.schema[:4], *(T.StructField(n, t) for n, t in more.items())])
+    partial = materialize(slim.mapInArrow(near, schema), "partial")
     rare = scored.where("c <= 1" if least is None else (F.col("c") <= 1) | (level < least))
-    far = (
-        partial.select("uid", F.explode("tails").alias("hash"))
-        .join(rare, "hash")
-        .groupBy("uid")
-        .agg(F.sum("base").alias("far_base"), F.sum("model").alias("far_model"), F.sum((F.col("c") > 0).cast("long")).alias("far_k"))
-    )
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return partial.join(far, "uid", "left").select(
-        "doc_id", (~F.col("learn")).alias("held_out"), F.col("n").alias("n_tokens"), (F.col("k") + zero("far_k")).alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") + zero("far_base")).alias("base_score"), (F.col("model") + zero("far_model")).alias("score"),
+    far = partial.select("file", "row", F.explode("tails").alias("word")).join(rare, "word").groupBy("file", "row")
+    far = far.agg(*(F.sum(n).alias(f"far_{n}") for n in SCORES), F.sum((F.col("c") > 0).cast("long")).alias("far_k"))
+    whole = lambda n: F.col(n) + F.coalesce(f"far_{n}", F.lit(0))
+    return partial.join(far, ["file", "row"], "left").select(
+        "doc_id", (~F.col("learn")).alias("held_out"), F.col("n").alias("n_tokens"), whole("k").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
+        whole("base").alias("base_score"), whole("lattice").alias("score"), whole("plain").alias("existing_score"), whole("model").alias("mixed_score"),
     )
 
 

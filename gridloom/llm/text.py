@@ -1,4 +1,4 @@
-"""Vectorised views of Arrow string columns: bytes, document offsets, word spans, word hashes."""
+"""Vectorised views of Arrow string columns: bytes, document offsets, word spans, distinct words."""
 
 from __future__ import annotations
 
@@ -16,25 +16,6 @@ LOWER[65:91] += 32
 BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
 
-_SEED = np.random.default_rng(20240607)
-_BYTE = _SEED.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_BYTE_LOWER = _BYTE[LOWER]
-_P = np.uint64(0x9E3779B97F4A7C15)
-_P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _powers.get("p")
-    if have is None or len(have) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        for name, base in (("p", _P), ("i", _P_INV)):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            _powers[name] = np.multiply.accumulate(x)
-    return _powers["p"][:n], _powers["i"][:n]
-
-
 try:
     _libc = ctypes.CDLL("libc.so.6")
 except OSError:  # another C library: nothing to trim
@@ -98,18 +79,20 @@ def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of each span's (lower-cased) bytes; the same in every process."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    power, inverse = _power(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * power, out=sums[1:])
-    h = (sums[ends] - sums[starts]) * inverse[starts]
-    h ^= (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(29))
+def span_values(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> pa.Array:
+    """The (lower-cased) bytes of each span. The spans are in order and don't overlap."""
+    step = np.zeros(len(data) + 1, np.int8)
+    step[starts] += 1
+    step[ends] -= 1
+    body = data[np.cumsum(step[:-1], dtype=np.int8).view(bool)]
+    at = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(LOWER[body] if lower else np.ascontiguousarray(body))])
+
+
+def coded(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(the distinct values, the number of each value among them), told apart by their bytes."""
+    found = values.dictionary_encode()
+    return found.dictionary, found.indices.to_numpy()
 
 
 def ragged(values: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_path
-from .text import pieces, ragged, span_hashes, string_bytes
+from .text import coded, pieces, ragged, string_bytes
 
 MAGIC = b"GLTOKENS"
 FOOTER = struct.Struct("<QQQQIII8s")
@@ -169,12 +169,24 @@ def _rare_documents(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.unique(np.searchsorted(offsets, at[np.isin(x, _RARE_KEYS)], "right") - 1)
 
 
-def split_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _holding(data: np.ndarray, offsets: np.ndarray, texts: list[bytes]) -> set[int]:
+    """Documents that hold one of ``texts``."""
+    whole, out = data.tobytes() if texts else b"", set()
+    for text in texts:
+        at = whole.find(text)
+        while at >= 0:
+            out.add(int(np.searchsorted(offsets, at, "right")) - 1)
+            at = whole.find(text, at + 1)
+    return out
+
+
+def split_points(data: np.ndarray, offsets: np.ndarray, added: list[bytes] = ()) -> tuple[np.ndarray, np.ndarray]:
     """(starts of the pieces, first piece of each document and the end) of texts, for a GPT-2 style split.
 
     Pieces consist of whole tokens and encode to the same ids alone. They begin where a run of blanks begins, around a
     run's last blank if that isn't the space, and between ASCII letters, digits and other signs, but not behind an apostrophe (it may
-    begin a contraction) nor beside other characters, whose class isn't looked up. Texts with rare blanks stay whole.
+    begin a contraction) nor beside other characters, whose class isn't looked up. Texts with rare blanks stay whole,
+    and so do those that hold an added token's text, which the library takes out of a text first.
     """
     kind = _CLASS[data]
     cut = np.zeros(len(data), bool)
@@ -185,32 +197,32 @@ def split_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
         last[heads[1:] - 1] = False
         cut[1:] = _CUT[kind[:-1], kind[1:]] | last
         cut[:-1] |= last
-    for d in _rare_documents(data, offsets).tolist():
+    for d in {*_rare_documents(data, offsets).tolist(), *_holding(data, offsets, added)}:
         cut[offsets[d] : offsets[d + 1]] = False
     cut[heads] = True
     starts = np.flatnonzero(cut)
     return starts, np.searchsorted(starts, offsets)
 
 
-#: Pieces of more bytes aren't remembered; pieces that a worker remembers (some 40 bytes each).
+#: Pieces of more bytes aren't remembered; pieces that a worker remembers (some 150 bytes each).
 LONG_PIECE = 256
-REMEMBER = 3_000_000
+REMEMBER = 400_000
 
 
 class LibraryEncoder:
-    """The tokenizers library; each piece that isn't remembered (by a 64-bit hash) goes through it."""
+    """The tokenizers library; a piece that isn't remembered goes through it, one that is has its ids by its bytes."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
-        self.known, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.row: dict[bytes, int] = {}
         self.ids, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def _library(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -224,34 +236,25 @@ class LibraryEncoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the texts."""
-        starts, first = split_points(data, offsets)
-        ends = np.append(starts[1:], len(data))
-        # a piece ends with its document: documents are adjacent, so the next piece's start is its end
-        hashes, at, which = np.unique(span_hashes(data, starts, ends, lower=False), return_index=True, return_inverse=True)
-        if len(self.known) > REMEMBER:
+        if len(self.row) > REMEMBER:
             self._forget()
-        place = np.searchsorted(self.known, hashes)
-        hit = np.zeros(len(hashes), bool)
-        inside = place < len(self.known)
-        hit[inside] = self.known[place[inside]] == hashes[inside]
-        row = np.empty(len(hashes), np.int64)
-        row[hit] = self.row[place[hit]]
-        text = data.tobytes()
-        new = np.flatnonzero(~hit)
-        ids, ends_of = self._library([text[s:e] for s, e in zip(starts[at[new]].tolist(), ends[at[new]].tolist())])
+        starts, first = split_points(data, offsets, self.added)
+        # documents are adjacent, so each piece ends where the next one begins
+        at = np.append(starts, len(data)).astype(np.int64)
+        values, which = coded(pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))]))
+        texts = values.to_pylist()
+        row = np.fromiter((self.row.get(t, -1) for t in texts), np.int64, len(texts))
+        new = np.flatnonzero(row < 0).tolist()
+        # the long ones last, so that what is remembered is a prefix
+        new.sort(key=lambda k: len(texts[k]) > LONG_PIECE)
+        ids, ends = self._library([texts[k] for k in new])
         row[new] = len(self.offsets) - 1 + np.arange(len(new))
-        store, store_ends = np.concatenate([self.ids, ids]), np.concatenate([self.offsets, self.offsets[-1] + ends_of[1:]])
+        store, store_ends = np.concatenate([self.ids, ids]), np.concatenate([self.offsets, self.offsets[-1] + ends[1:]])
         out, ends_out = ragged(store, store_ends, row[which])
-        keep = new[(ends - starts)[at[new]] <= LONG_PIECE]
-        if len(keep) == len(new):
-            self.ids, self.offsets, kept_row = store, store_ends, row[keep]
-        else:  # long pieces are left out of what is remembered
-            more, more_ends = ragged(store, store_ends, row[keep])
-            kept_row = len(self.offsets) - 1 + np.arange(len(keep))
-            self.ids, self.offsets = np.concatenate([self.ids, more]), np.concatenate([self.offsets, self.offsets[-1] + more_ends[1:]])
-        known = np.concatenate([self.known, hashes[keep]])
-        order = np.argsort(known, kind="stable")
-        self.known, self.row = known[order], np.concatenate([self.row, kept_row])[order]
+        kept = sum(len(texts[k]) <= LONG_PIECE for k in new)
+        self.row.update((texts[k], int(row[k])) for k in new[:kept])
+        self.offsets = store_ends[: len(self.offsets) + kept]
+        self.ids = store[: self.offsets[-1]]
         return out, ends_out[first]
 
 

@@ -5,13 +5,13 @@ dropped, and, in words that hold a letter, digits to the letters that they stand
 beginnings; each match counts with its term's weight (of several matches in a word the heaviest), matches
 inside an exception phrase count nothing, and the sum is normalised by length. A logistic curve makes it a score.
 
-The lexicon, the exceptions and the curve are fitted on at most SAMPLE_ROWS labelled rows (those with the least
+The lexicon, the exceptions and the curve are fitted on at most SAMPLE_ROWS labelled documents (those with the least
 hash of doc_id; lexicon from three quarters of them, curve from the rest), so what is broadcast and what reaches
-the driver has a fixed bound: SAMPLE_ROWS labels, MAX_TERMS terms, one number per calibration row. Scoring is
-one pass over the texts without a shuffle.
+the driver is bounded by that parameter: SAMPLE_ROWS labels, the terms and phrases that MIN_DOCS or EXCEPTION_DOCS of those documents have, a few
+numbers per calibration row. Scoring is one pass over the texts without a shuffle.
 
 A null text is an empty one: nothing matches, and the curve's value at zero is its score. Several labels of a doc_id:
-toxic if any is. Null labels and doc_ids teach nothing. Without both labels in the sample the score is the share of
+toxic if any is. Several texts of a doc_id: the least one is learned from. Null labels and doc_ids teach nothing. Without both labels in the sample the score is the share of
 toxic rows in it, or 0 without rows. Repeated rows are scored alike.
 """
 
@@ -20,9 +20,11 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import takewhile
 
 import ahocorasick
 import numpy as np
@@ -31,10 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold
+from .common import fold, fresh, materialize
 
 SAMPLE_ROWS = 20_000
-MAX_TERMS = 4000
 MIN_DOCS = 5
 MIN_WEIGHT = 2.0
 PREFIXES = range(4, 10)
@@ -42,8 +43,8 @@ EXCEPTION_DOCS = 5
 #: Words added to a text's length, so that one match in a very short text doesn't count as a whole text of them.
 LENGTH_PSEUDO = 20.0
 
-#: Cyrillic and Greek letters that look like Latin ones, and the digits that stand for letters.
-HOMOGLYPHS = dict(zip("аеорсухіјѕԁһкмтвнαεορντυκιχγ", "aeopcyxijsdhkmtbhaeopvtukixy"))
+#: Letters of other alphabets (Cyrillic, Greek, Armenian, phonetic) that look like Latin ones, and the digits that stand for letters.
+HOMOGLYPHS = dict(zip("аеорсухіјѕԁһкмтвнԛԝѵүґгзё" "αεορντυκιχγβηωσςζμάέίόύώ" "օոսցհզ" "ıɑɡɩʏʀɴʟʜɪ", "aeopcyxijsdhkmtbhqwvyrrze" "aeopvtukixybnwoczuaeiouw" "onughq" "iagiyrnlhi"))
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
 _FOLD = str.maketrans(HOMOGLYPHS)
 _LEET = str.maketrans(DIGITS)
@@ -127,16 +128,18 @@ def _features(text: str) -> set[str]:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """At most ``rows`` labelled training documents: (toxic, fit, text). The broadcast side is bounded by ``rows``."""
+    """At most ``rows`` labelled training documents: (toxic, fit, text), written down. The broadcast side is bounded by ``rows``."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(fold(F.col("doc_id"), 5) != 0)
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     fit = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(4)) != 0
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("toxic", fit.alias("fit"), "text")
+    found = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(known), "doc_id")
+    found = found.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text"))
+    return materialize(found.select("toxic", fit.alias("fit"), "text"), "sample")
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_terms: int = MAX_TERMS) -> Lexicon:
-    sample = _sample(docs, labels, sample_rows).where("text IS NOT NULL")
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Lexicon:
+    sample = _sample(docs, labels, sample_rows)
     sizes = {(r.fit, r.toxic): r.n for r in sample.groupBy("fit", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_all = sum(sizes.values())
     toxic, clean = sizes.get((True, 1), 0), sizes.get((True, 0), 0)
@@ -159,8 +162,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, ma
     counts = sample.where("fit").select("toxic", "text").mapInArrow(count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     weight = F.log((F.col("bad") + 0.5) / (toxic + 1.0)) - F.log((F.col("good") + 0.5) / (clean + 1.0))
     rows = counts.where(F.col("bad") >= MIN_DOCS).withColumn("w", weight).where(F.col("w") >= MIN_WEIGHT)
-    rows = rows.orderBy(F.desc(F.col("w") * F.sqrt("bad")), "term").limit(max_terms).collect()
-    terms = _prune({r.term: (r.w, r.bad) for r in rows})
+    terms = _prune({r.term: (r.w, r.bad) for r in rows.collect()})
     lexicon = Lexicon(terms)
     lexicon.exceptions = _exceptions(sample.where("fit").select("toxic", "text"), lexicon)
     return _calibrate(sample.where("NOT fit").select("toxic", "text"), lexicon)
@@ -168,11 +170,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, ma
 
 def _prune(found: dict[str, tuple[float, int]]) -> dict[str, float]:
     """Drops a word beginning that a longer beginning or a word explains: one of about as many rows and no less weight."""
-    out = {}
-    for term, (w, n) in found.items():
-        stem = term[:-1] if term.endswith("*") else None
-        if stem and any(o != term and o.startswith(stem) and m >= 0.9 * n and v >= w for o, (v, m) in found.items()):
-            continue
+    out, names = {}, sorted(found)
+    for term in names:
+        w, n = found[term]
+        if term.endswith("*"):
+            longer = takewhile(lambda o: o.startswith(term[:-1]), (names[k] for k in range(bisect_left(names, term[:-1]), len(names))))  # noqa: B023
+            if any(o != term and found[o][1] >= 0.9 * n and found[o][0] >= w for o in longer):
+                continue
         out[term] = w
     return out
 
@@ -196,8 +200,7 @@ def _exceptions(rows: DataFrame, lexicon: Lexicon) -> list[str]:
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], ["phrase", "good", "bad"])
 
     sums = rows.mapInArrow(phrases, "phrase string, good long, bad long").groupBy("phrase").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    kept = sums.where(f"bad = 0 AND good >= {EXCEPTION_DOCS}").orderBy(F.desc("good"), "phrase").limit(MAX_TERMS).collect()
-    return [r.phrase for r in kept]
+    return sorted(r.phrase for r in sums.where(f"bad = 0 AND good >= {EXCEPTION_DOCS}").collect())
 
 
 def _calibrate(rows: DataFrame, lexicon: Lexicon) -> Lexicon:
@@ -226,10 +229,11 @@ def _calibrate(rows: DataFrame, lexicon: Lexicon) -> Lexicon:
 
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``docs(..., text)`` with text replaced by score and predicted."""
+    """``docs(..., text)`` with text replaced by score and predicted; one that clashes gets an underscore in front."""
     rest = [c for c in docs.columns if c != "text"]
+    score, predicted = fresh(rest, "score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-    schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField(score, T.DoubleType()), T.StructField(predicted, T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value

@@ -256,7 +256,7 @@ def test_similar_lines_are_found(spark):
 
 def test_crowded_line_blocks(spark, monkeypatch):
     """Blocks that many unrelated lines share are split by further runs, and lines that resemble each other are still found."""
-    monkeypatch.setattr(linking, "CROWDED", 64)
+    monkeypatch.setattr(linking, "CROWDED", 8)
     rnd = random.Random(17)
     common = "all rights reserved by the owner"
     texts = []

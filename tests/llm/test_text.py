@@ -141,7 +141,6 @@ def test_packing(bits, data):
 
 def test_token_files(docs, no_docs, rows, tmp_path):
     own = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
     order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or ""))
     files = token_files.write_token_files(docs, P.path("byte_bpe_50k.json"), f"file://{tmp_path}/t", file_ids=3000)
     got = sorted((tuple(r) for r in token_files.read_token_files(docs.sparkSession, files).collect()), key=lambda r: r[1])
@@ -159,13 +158,35 @@ def test_token_files(docs, no_docs, rows, tmp_path):
 
 def test_library_pieces():
     own, library = token_files.LibraryEncoder(P.path("byte_bpe_50k.json")), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     rnd = random.Random(8)
-    texts = ["".join(rnd.choice("ab  \n\t\r1'.,sd’é \xa0<|>") for _ in range(rnd.randint(0, 40))) for _ in range(5000)] + ["<|endoftext|>", "", "x" * 4000, "it's we'll  'S"]
+    texts = ["".join(rnd.choice("ab  \n\t\r1'.,sd’é \xa0<|>") for _ in range(rnd.randint(0, 40))) for _ in range(5000)] + ["<|endoftext|>", "a<|endoftext|>b  <|endoftext|>", "<|endoftext", "", "x" * 4000, "it's we'll  'S"]
     ids, at = own.encode(*string_bytes(pa.array(texts, pa.string())))
     assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def unlike_words(n=11):
+    """Two words of 2**n letters that polynomial hashes modulo a power of two can't tell apart."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_are_known_by_their_bytes(spark):
+    path = P.path("byte_bpe_50k.json")
+    for n in (10, 11):
+        one, two = unlike_words(n)
+        own, library = token_files.LibraryEncoder(path), Tokenizer.from_file(path)
+        for t in (one, two):  # the second one after the first is remembered
+            assert own.encode(*string_bytes(pa.array([t])))[0].tolist() == library.encode(t, add_special_tokens=False).ids
+        docs = spark.createDataFrame([(1, f"x {one} y"), (2, f"x {two} y")], "doc_id long, text string")
+        bench = spark.createDataFrame([(1, one), (2, two)], "item_id long, text string")
+        assert {r.doc_id: r.item_ids for r in decontaminate.contamination(docs, bench).collect()} == {1: ["1"], 2: ["2"]}
+        learned = spark.createDataFrame([(1, one, True, False), (2, two, False, False)], "doc_id long, text string, t boolean, d boolean")
+        known = {r.doc_id: r.n_known for r in lattice_lm.score(learned, P.path("piece_bpe_32k.model"), "t", "d").collect()}
+        assert known == {1: 2, 2: 1}
+
+
 # language model ------------------------------------------------------------------------------------------
 
 
@@ -224,12 +245,43 @@ def test_scores(docs, no_docs, rows):
         w = [*split(r[1]), "\0"]
         want[r[0], fold(r[0], 10) == 0, len(w), sum(counts[x] > 0 for x in w), n, round(sum(math.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), 5)] += 1
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got) == want
-    assert all(r.score < 0 for r in got)
+    assert all(r.score < 0 and r.mixed_score < 0 for r in got)
     few = lattice_lm.score(docs.withColumn("t", F.lit(True)).withColumn("d", F.col("doc_id") % 5 == 0).select("doc_id", "text", "t", F.coalesce("d", F.lit(False)).alias("d")), path, "t", "d", frequent=3)
     assert few.count() == len(rows)
     assert lattice_lm.score_documents(no_docs, path).count() == 0
 
 
+def test_document_probability_by_brute_force(spark):
+    """Whole documents: the sum over all segmentations of all words, under pieces learned from all segmentations of the training words."""
+    path = P.path("piece_bpe_32k.model")
+    rnd = random.Random(21)
+    rows = [(i, " ".join(rnd.choice(["ab", "The", "cat", "sat.", "é", "to", "a"]) for _ in range(rnd.randint(0, 6)))) for i in range(40)] + [(90, "unseen xq"), (91, None)]
+    got = lattice_lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()
+    surfaces, logp = lattice_lm.vocabulary_pieces(path)
+    existing = dict(zip(surfaces, np.exp(logp).tolist()))
+    split = lambda t: [b" " + w.encode() for w in (t or "").translate(LOW).split(" ") if w]
+    counts, n_docs = Counter(), 0
+    for i, t in rows:
+        if fold(i, 10):
+            counts.update(split(t))
+            n_docs += 1
+    uses = Counter()
+    for w, c in counts.items():
+        ways = [(s, math.prod(existing[x] for x in s)) for s in segmentations(w) if all(x in existing for x in s)]
+        for s, p in ways:
+            for x in s:
+                uses[x] += c * p / sum(p for _, p in ways)
+    weight = {x: lattice_lm.PRIOR_PIECES * p + uses[x] for x, p in existing.items()}
+    whole = sum(weight.values())
+    learned = {x: w / whole for x, w in weight.items()}
+    stop = n_docs / (n_docs + sum(counts.values()))
+    for r in got:
+        text = dict(rows)[r.doc_id]
+        for score, pieces in ((r.score, learned), (r.existing_score, existing)):
+            want = math.log10(stop) + sum(math.log10((1 - stop) * marginal(w, pieces)) for w in split(text))
+            assert score == pytest.approx(want, abs=1e-6), text
+
+
 def test_held_out_probability(spark):
     """Unseen texts of the training distribution get a higher probability than shuffled letters."""
     rnd = random.Random(2)
@@ -263,12 +315,53 @@ def test_language(spark, no_docs):
     model = language_id.learn(df)
     mixed = language_id.identify(df.where("doc_id = 904").select("doc_id", "text"), model).first()
     assert mixed.languages == ["bb", "cc"] and mixed.proportions == pytest.approx([0.75, 0.25], abs=0.02)
-    assert language_id.keep_identified(df).count() == len(rows) - 3 and language_id.keep_identified(df).columns == df.columns
+    kept = language_id.keep_identified(df)
+    assert kept.columns == df.columns and {r.doc_id: r.lang for r in kept.collect()} == {r.doc_id: r.lang_pred for r in got if r.lang_pred != "und"}
     assert language_id.predict(no_docs).count() == 0
     unlabelled = language_id.predict(df.withColumn("lang", F.lit(None).cast("string"))).select("lang_pred", "score").distinct().collect()
     assert [tuple(r) for r in unlabelled] == [("und", 0.0)]
 
 
+def test_mixture_by_brute_force():
+    """Proportions against a plain expectation-maximisation over one document's words, and the selected set against all sets."""
+    rnd = random.Random(8)
+    langs = list(TONGUES)
+    counts = np.zeros((language_id.MODEL_BUCKETS, 3))
+    for k, lang in enumerate(langs):
+        data, at = string_bytes(pa.array([tongue(rnd, lang, 500)]))
+        counts[:, k] = np.bincount(language_id.trigrams(data, at), minlength=language_id.MODEL_BUCKETS)
+    model = language_id.Model(langs, counts)
+    for parts in ((30, 0, 0), (20, 10, 0), (15, 10, 5)):
+        text = " ".join(tongue(rnd, lang, n) for lang, n in zip(langs, parts) if n)
+        mix = model.infer(*string_bytes(pa.array([text])))[0]
+        like = []
+        for w in text.encode().split():
+            grams = language_id.trigrams(np.frombuffer(w, np.uint8), np.array([0, len(w)]))
+            like.append(np.exp(model.logp[grams].sum(axis=0, dtype=float)))
+        like, found = np.array(like), {}
+        for bits in range(1, 8):
+            m = np.array([bits >> k & 1 for k in range(3)], float)
+            m /= m.sum()
+            for _ in range(60):
+                share = like * m
+                m = (share / share.sum(axis=1, keepdims=True)).mean(axis=0)
+            found[bits] = np.log((like * m).sum(axis=1)).sum() - 0.5 * np.log(len(like) + 1) * bin(bits).count("1"), m
+        best = max(found.values(), key=lambda x: x[0])[1]
+        assert set(np.flatnonzero(mix)) == set(np.flatnonzero(best)) and mix == pytest.approx(best, abs=0.01)
+
+
+def test_any_number_of_languages(spark):
+    """A column full of odd labels: 300 languages, and columns named like those that are added."""
+    rnd = random.Random(4)
+    word = lambda k: "".join(chr(97 + (k * 7 + rnd.randrange(3) * 5 + j * k) % 26) for j in range(5))
+    rows = [(i, " ".join(word(i % 300) for _ in range(30)), f"l{i % 300:03d}", 1) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
+    got = language_id.predict(df.drop("score")).collect()
+    assert len(got) == 1200 and {r.lang_pred for r in got} <= {r[2] for r in rows}
+    out = language_id.identify(df.limit(2), language_id.learn(df))
+    assert out.columns == ["doc_id", "lang", "score", "lang_pred", "_score", "languages", "proportions"] and out.count() == 2
+
+
 def test_large_document_as_its_distinct_words():
     rnd = random.Random(3)
     counts = np.zeros((language_id.MODEL_BUCKETS, 2))
@@ -321,6 +414,29 @@ def test_toxicity(spark, no_docs):
     assert toxicity.score_documents(df, lf.limit(0)).count() == len(rows)
 
 
+def test_toxicity_by_brute_force(spark):
+    """Scores of a given lexicon against plain code, and names that clash."""
+    lexicon = toxicity.Lexicon({"idiot": 3.0, "scum*": 2.0, "scummy": 2.5}, ["idiot board"], (-2.0, 1.0, 0.5, 0.25))
+    texts = ["you idiot", "1D10T idiot board scummy, scummiest", "", None, "clean " * 50 + "scum", "idiotic discum", "idiot " * 30]
+
+    def plain(text):
+        hits, found = 0.0, 0
+        tokens = re.findall(r"[a-z]+", (text or "").lower().replace("1d10t", "idiot"))
+        for i, w in enumerate(tokens):
+            x = {"idiot": 3.0, "scummy": 2.5}.get(w, 2.0 if w.startswith("scum") else 0.0)
+            if w == "idiot" and tokens[i + 1 : i + 2] == ["board"]:
+                x = 0.0
+            hits, found = hits + x, found + (x > 0)
+        density = 10 * hits / (len((text or "").split()) + toxicity.LENGTH_PSEUDO) if text else 0.0
+        return 1 / (1 + math.exp(-(-2.0 + density + 0.5 * math.sqrt(density) + 0.25 * min(found, 3) / 3)))
+
+    df = spark.createDataFrame([(i, t, "own") for i, t in enumerate(texts)], "doc_id long, text string, score string")
+    out = toxicity.score(df, lexicon)
+    assert out.columns == ["doc_id", "score", "_score", "predicted"]
+    for r in out.collect():
+        assert r._score == pytest.approx(plain(texts[r.doc_id])) and r.predicted == (r._score >= 0.5) and r.score == "own"
+
+
 # chat ----------------------------------------------------------------------------------------------------
 
 
@@ -357,6 +473,8 @@ def test_chat(spark):
     assert out.where("conv_id IS NULL").first().status == "unmatched result"
     for r in out.collect():
         assert r.json == chat.canonical(json.loads(r.json))
+    deep = chat.format_messages(spark.createDataFrame([(1, 1, "assistant", '{"a":' * 200 + "1" + "}" * 200)], "conv_id long, turn long, role string, text string")).first()
+    assert deep.status == "too deep" and json.loads(deep.json)["content"].startswith('{"a":')
     whole = chat.transcripts(out, segment=3).where("conv_id = 1").orderBy("segment").collect()
     assert [len(json.loads(r.messages)) for r in whole] == [3, 3, 2] and json.loads(whole[0].messages)[0]["role"] == "system"
     assert chat.format_messages(df.limit(0)).count() == 0
@@ -365,10 +483,46 @@ def test_chat(spark):
 @pytest.mark.parametrize(
     "value, schema, bad",
     [(1, {"type": "string"}, 1), (True, {"type": "integer"}, 1), (2.0, {"type": "integer"}, 0), (None, {"type": ["null", "string"]}, 0), ("a", {"enum": ["a", "b"]}, 0), ("c", {"enum": ["a", "b"]}, 1),
-     ([1, "x"], {"items": {"type": "number"}}, 1), ({"a": {"b": 1}}, {"properties": {"a": {"required": ["c"]}}}, 1), ({"$ref": "r"}, {"type": "string"}, 0), ({"x": 1}, {"additionalProperties": {"type": "string"}}, 1), (1, True, 0)],
+     ([1, "x"], {"items": {"type": "number"}}, 1), (3, {"minimum": 4, "maximum": 2}, 2), (4, {"exclusiveMinimum": 4}, 1), (0.3, {"multipleOf": 0.1}, 0), (7, {"multipleOf": 2}, 1), ("abc", {"pattern": "^b", "maxLength": 2}, 2), ("", {"minLength": 1}, 1),
+     ([1, 1.0], {"uniqueItems": True, "minItems": 3}, 2), ([1, "a"], {"prefixItems": [{"type": "integer"}], "items": {"type": "string"}}, 0), (1, {"const": 1.0}, 0), (2, {"anyOf": [{"const": 1}, {"type": "string"}]}, 1), (2, {"oneOf": [{"type": "integer"}, {"minimum": 0}]}, 1),
+     (2, {"allOf": [{"type": "integer"}, {"minimum": 5}]}, 1), (2, {"not": {"type": "integer"}}, 1), ({"ab": 1}, {"patternProperties": {"^a": {"type": "string"}}, "additionalProperties": False}, 1), ({"ab": 1}, {"propertyNames": {"maxLength": 1}, "minProperties": 2}, 2), (1, False, 1), ({"a": {"b": 1}}, {"properties": {"a": {"required": ["c"]}}}, 1), ({"$ref": "r"}, {"type": "string"}, 0), ({"x": 1}, {"additionalProperties": {"type": "string"}}, 1), (1, True, 0)],
 )
 def test_schema(value, schema, bad):
-    assert len(chat.problems(value, schema)) == bad
+    check = chat.Check(value, schema)
+    assert len(check.found) == bad and not check.unknown
+
+
+def test_unknown_keywords_are_told():
+    assert chat.verdict('{"a":"x"}', '{"properties":{"a":{"format":"email","title":"A"}},"if":{},"then":{}}') == "unchecked: format, if, then"
+    assert chat.verdict('{"a":1}', '{"properties":{"a":{"type":"string","format":"email"}}}') == "$.a: not string"
+    assert chat.verdict('"x"', '{"pattern":"("}') == "unchecked: pattern" and chat.verdict("1", "{}") == "valid"
+
+
+def test_results_come_before_the_calls_that_need_them(spark):
+    """Random conversations: in the order of the output, each linked result stands behind its call and before every call that refers to it."""
+    rnd = random.Random(19)
+    rows, needs, turns = [], {}, {}
+    for conv in range(12):
+        n = rnd.randint(2, 9)
+        turn = rnd.sample(range(40), 2 * n)
+        for k in range(n):
+            needs[conv, k] = rnd.sample(range(k), min(k, rnd.randint(0, 2)))
+            turns[conv, k] = turn[2 * k : 2 * k + 2]
+            rows.append((conv, turn[2 * k], "assistant", json.dumps({"tool_calls": [call(f"c{k}", "f", [{"$ref": f"c{j}"} for j in needs[conv, k]])]})))
+            if rnd.random() < 0.8:
+                rows.append((conv, turn[2 * k + 1], "tool", json.dumps({"tool_call_id": f"c{k}", "content": "r"})))
+    out = chat.format_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    place = {}
+    for conv in range(12):
+        for p, r in enumerate(sorted((r for r in out if r.conv_id == conv), key=lambda r: (r.order_turn, r.order_step, r.turn, r.json))):
+            place[conv, r.turn] = p
+    for (conv, k), others in needs.items():
+        for j in others:
+            for t in turns[conv, j]:
+                assert place[conv, turns[conv, k][0]] > place.get((conv, t), -1)
+        assert place.get((conv, turns[conv, k][1]), 99) > place[conv, turns[conv, k][0]]
+    late = chat.format_messages(spark.createDataFrame([(1, 1, "assistant", json.dumps({"tool_calls": [call("x", "f", {})]})), (1, 2, "assistant", json.dumps({"tool_calls": [call("y", "f", {"$ref": "x"})]})), (1, 5, "tool", json.dumps({"tool_call_id": "x", "content": ""}))], "conv_id long, turn long, role string, text string")).collect()
+    assert [r.turn for r in sorted(late, key=lambda r: (r.order_turn, r.order_step))] == [1, 5, 2]
 
 
 def test_chat_levels(spark):
@@ -386,6 +540,7 @@ def test_chat_levels(spark):
             at[c, k] = max([turn[c, k], *(at[c, n] for n in needs[c, k])])
     uids = {key: i for i, key in enumerate(needs)}
     rows = [(uids[c, k], c, turn[c, k], str(k), [str(n) for n in sorted(needs[c, k])]) for c, k in needs]
-    found = chat._levels(spark.createDataFrame(rows, "uid long, conv_id long, turn long, id string, refs array<string>")).collect()
+    none = spark.createDataFrame([], "conv_id long, id string, turn long")
+    found = chat._levels(spark.createDataFrame(rows, "uid long, conv_id long, turn long, id string, refs array<string>"), none).collect()
     assert {r.uid: (r.level, r.at) for r in found} == {uids[key]: (level[key], at[key]) for key in needs}
     assert level[1, 1499] == 1499 and {level[4, k] for k in range(20)} == {-1} and len(found) == len(needs)
