@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps with the columns of ``documents``; the last
 returns doc_id, lang, source, n_tokens and the packed ids. ``run`` writes each stage to the shared folder and reads it
-again, so a lost executor costs at most the tasks of one stage.
+again, so a lost executor costs at most the tasks of one stage; what a stage wrote on its way, and the table of the stage before, are deleted.
+
+All stages: documents are rows, so a null or repeated doc_id is a document like any other; further columns stay, whatever their names, until the
+last; an empty table stays empty; whole texts are read, however long. Null and empty texts go at the first stage. Ties go as each stage says.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 from gridloom.llm import bpe, decontaminate, exact_dedup, language_id, simhash
-from gridloom.llm.common import materialize, table
+from gridloom.llm.common import remove, scratch, shared_path, table, written
 
 
 #: Rows in an Arrow batch: whole texts pass through several processes of an executor at once.
@@ -19,23 +22,27 @@ BATCH_ROWS = 1000
 
 
 def _lean(spark: SparkSession) -> None:
+    """For the session from here on: a stage's rows are made after the stage has returned, so the setting can't be taken back."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents whose text is in no language (null, empty, no letters)."""
+    """With ``lang`` as inferred from the text, and without the documents whose text is in no language (null, empty, no letters). Ties: the language that sorts first."""
     _lean(spark)
     return language_id.keep_identified(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that is equal but for blanks: the longest, then the least doc_id."""
+    """One document of each group that is equal but for blanks: the longest, then the least doc_id (nulls last), then the first in the files."""
     _lean(spark)
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least doc_id of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    """The least doc_id (nulls last, then the first in the files) of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
+
+    Candidates share a block of sampled shingles and differ in at most ``simhash.LOOSE_BITS`` of 512 bits; the shingles decide.
+    """
     _lean(spark)
     return simhash.drop_near_duplicates(docs)
 
@@ -60,7 +67,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = shared_path(spark, f"stage-{name}")
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
