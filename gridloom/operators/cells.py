@@ -58,8 +58,8 @@ def skip_log(cells: DataFrame, array: Column | None = None) -> DataFrame:
 
 
 def cross_sheet_refs(formula: Column, sheet: Column) -> Column:
-    """Names in front of a ! other than the cell's own sheet, in order of first use. Text only: strings count, quotes stay escaped."""
-    found = F.regexp_extract_all(formula, F.lit(r"(?:'((?:[^']|'')+)'|([A-Za-z_][A-Za-z0-9_.]*))!"), F.lit(0))
+    """Names in front of a ! other than the cell's own sheet, in order of first use. Text only: strings count, and a quoted name begins behind its last inner quote."""
+    found = F.regexp_extract_all(formula, F.lit(r"(?:'[^']+'|[A-Za-z_][A-Za-z0-9_.]*)!"), F.lit(0))
     bare = F.transform(found, lambda x: F.regexp_replace(x, r"^'|'?!$", ""))
     return F.array_distinct(F.filter(bare, lambda x: x != sheet))
 

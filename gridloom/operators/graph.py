@@ -14,8 +14,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..functions import columns as C
 from ..functions.formula import FormulaError, parse, references
 
-#: Ranges of more cells aren't expanded into edges: ``large_ranges`` has them.
-MAX_EXPAND = 1_000_000
+#: Cells of a range that one task makes: a larger range is cut into bands of rows, which are dealt to the tasks.
+BAND_CELLS = 1 << 20
 CELL = ["sheet", "row", "col"]
 
 
@@ -66,22 +66,18 @@ def resolved(refs: DataFrame, named: DataFrame | None) -> tuple[DataFrame, DataF
     return plain.unionByName(good), bad
 
 
-def _area(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("area", (F.col("r1") - F.col("r0") + 1).cast("long") * (F.col("c1") - F.col("c0") + 1))
-
-
 def expand(rows: DataFrame) -> DataFrame:
-    """A row per cell of each rectangle of at most MAX_EXPAND cells, row by row: p_sheet, p_row, p_col, ord, pos."""
-    small = _area(rows).where(F.col("area") <= MAX_EXPAND)
-    each = small.withColumn("p_row", F.explode(F.sequence("r0", "r1"))).withColumn("p_col", F.explode(F.sequence("c0", "c1")))
-    pos = (F.col("p_row") - F.col("r0")).cast("long") * (F.col("c1") - F.col("c0") + 1) + F.col("p_col") - F.col("c0")
+    """A row per cell of each rectangle, row by row: p_sheet, p_row, p_col, ord, pos."""
+    width = (F.col("c1") - F.col("c0") + 1).cast("long")
+    step = F.greatest(F.lit(1), F.expr(f"{BAND_CELLS} div (c1 - c0 + 1)")).cast("int")
+    small = (F.col("r1") - F.col("r0") + 1) * width <= BAND_CELLS
+    bands = rows.where(~small).withColumn("b0", F.explode(F.sequence("r0", "r1", step))).withColumn("b1", F.least(F.col("b0") + step - 1, "r1"))
+    every = rows.where(small).select("*", F.col("r0").alias("b0"), F.col("r1").alias("b1")).unionByName(bands.repartition(*rows.columns, "b0"))
+    each = every.withColumn("p_row", F.explode(F.sequence("b0", "b1"))).withColumn("p_col", F.explode(F.sequence("c0", "c1")))
+    pos = (F.col("p_row") - F.col("r0")) * width + F.col("p_col") - F.col("c0")
     return each.select("workbook", *CELL, "p_sheet", "p_row", "p_col", "ord", pos.alias("pos"))
 
 
-def large_ranges(rows: DataFrame) -> DataFrame:
-    return _area(rows).where(F.col("area") > MAX_EXPAND)
-
-
 def edges(compiled: DataFrame, named: DataFrame | None = None) -> DataFrame:
     """Distinct edges: workbook, p_sheet, p_row, p_col (precedent), sheet, row, col (dependent), ord, pos (of the first use)."""
     rectangles, _ = resolved(references_of(compiled), named)
@@ -161,7 +157,7 @@ def topological_order(found: DataFrame, workbook: str) -> list[str]:
     return [r.cell for r in rows]
 
 
-def _cycles(src: list[str], dst: list[str], limit: int) -> Iterator[list[str]]:
+def _cycles(src: list[str], dst: list[str], limit: int | None) -> Iterator[list[str]]:
     """Elementary cycles, each from its least cell, by depth-first walks that never go below their start."""
     after: dict[str, list[str]] = {}
     for a, b in sorted(zip(src, dst)):
@@ -183,7 +179,7 @@ def _cycles(src: list[str], dst: list[str], limit: int) -> Iterator[list[str]]:
                 if b == start:
                     yield list(path)
                     n += 1
-                    if n >= limit:
+                    if n == limit:
                         return
                 elif b > start and b in back and b not in seen:
                     path.append(b)
@@ -195,16 +191,16 @@ def _cycles(src: list[str], dst: list[str], limit: int) -> Iterator[list[str]]:
                 seen.discard(path.pop())
 
 
-def cycles(found: DataFrame, limit: int = 10_000) -> DataFrame:
+def cycles(found: DataFrame, limit: int | None = None) -> DataFrame:
     """Elementary cycles (self-references included): workbook, cells (from the least one), truncated.
 
-    Their number is exponential in the worst case: after ``limit`` of a workbook the rest is cut, and marked.
+    Their number is exponential in the worst case; a caller may set a ``limit`` for a workbook, behind which the rest is cut, and marked.
     """
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
         level = _levels(frame["src"].tolist(), frame["dst"].tolist())
         left = frame[~frame["src"].isin(level) & ~frame["dst"].isin(level)].drop_duplicates(["src", "dst"])
         out = list(_cycles(left["src"].tolist(), left["dst"].tolist(), limit))
-        return pd.DataFrame({"workbook": [frame["workbook"].iloc[0]] * len(out), "cells": out, "truncated": [len(out) >= limit] * len(out)})
+        return pd.DataFrame({"workbook": [frame["workbook"].iloc[0]] * len(out), "cells": out, "truncated": [len(out) == limit] * len(out)})
 
     return _pairs(found).groupBy("workbook").applyInPandas(work, "workbook string, cells array<string>, truncated boolean")

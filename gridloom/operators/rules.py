@@ -29,6 +29,11 @@ class Analysis:
     rectangles: DataFrame | None = None
     unresolved: DataFrame | None = None
 
+    def unpersist(self) -> None:
+        """Gives back what ``analyze`` keeps, once the results are written."""
+        for kept in (self.compiled, self.blocks, self.neighbors):
+            kept.unpersist()
+
 
 def analyze(cells: DataFrame, named: DataFrame | None = None, min_cells: int = B.MIN_CELLS, near_miss: float = B.NEAR_MISS) -> Analysis:
     """Formulas are parsed once: the compiled cells, the blocks and the neighbours are kept (on disk where memory is short)
@@ -112,12 +117,8 @@ def inconsistent_anchoring(a: Analysis) -> DataFrame:
     return _issues(rows, ANCHORING, text, F.concat(F.lit("The block spells this reference "), wanted, F.lit("; spelled alike, the cell would copy like its neighbours.")))
 
 
-#: Blanks that an explanation lists.
-LISTED = 100
-
-
 def _blank_precedents(a: Analysis) -> DataFrame:
-    """Per block member: its distinct blank precedents in order of use (at most LISTED named) and their number."""
+    """Per block member: its distinct blank precedents in order of use, and their number."""
     key = ["workbook", "sheet", "row", "col"]
     spans = a.blocks.select("workbook", "sheet", "row", F.col("c0").alias("b0"), F.col("c1").alias("b1"))
     inside = a.rectangles.join(spans, ["workbook", "sheet", "row"]).where("col BETWEEN b0 AND b1").drop("b0", "b1")
@@ -126,13 +127,8 @@ def _blank_precedents(a: Analysis) -> DataFrame:
     each = G.expand(inside).join(filled, target, "left_anti")
     each = each.groupBy(*key, "p_sheet", "p_row", "p_col").agg(F.min(F.struct("ord", "pos")).alias("at"))
     named = C.qualified(F.col("p_sheet"), F.col("p_row"), F.col("p_col"))
-    # a range too large to expand holds blanks if it has more cells than filled ones; only their number is told
-    wide = G.large_ranges(inside)
-    counted = wide.join(filled, ["workbook", "p_sheet"], "left").groupBy(*key, "ord", "area").agg(F.count(F.when(F.expr("p_row BETWEEN r0 AND r1 AND p_col BETWEEN c0 AND c1"), 1)).alias("used"))
-    counted = counted.where("area > used").select(*key, F.struct("ord", F.lit(0).cast("long").alias("pos")).alias("at"), F.concat((F.col("area") - F.col("used")).cast("string"), F.lit(" cells of a large range")).alias("name"), (F.col("area") - F.col("used")).alias("n"))
-    every = each.select(*key, "at", named.alias("name"), F.lit(1).cast("long").alias("n")).unionByName(counted)
-    rows = every.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("at", "name"))).alias("l"), F.sum("n").alias("n_blank"))
-    return rows.select(*key, "n_blank", F.transform(F.slice("l", 1, LISTED), lambda x: x["name"]).alias("blanks"))
+    rows = each.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("at", named.alias("name")))).alias("l"))
+    return rows.select(*key, F.size("l").cast("long").alias("n_blank"), F.transform("l", lambda x: x["name"]).alias("blanks"))
 
 
 def reference_to_blank(a: Analysis) -> DataFrame:
@@ -143,7 +139,7 @@ def reference_to_blank(a: Analysis) -> DataFrame:
     affected = member.groupBy("workbook", "sheet", "row", "c0").agg(F.count(F.lit(1)).alias("affected"))
     rows = member.join(affected, ["workbook", "sheet", "row", "c0"]).withColumn("clean", F.col("n_cells") - F.col("affected")).where("clean > 0")
     rows = rows.withColumn("severity", F.when(F.col("clean") > F.col("affected"), "high").otherwise("medium"))
-    listed = F.concat(F.array_join("blanks", ", "), F.when(F.col("n_blank") > F.size("blanks"), F.lit(", ...")).otherwise(F.lit("")))
+    listed = F.array_join("blanks", ", ")
     text = F.concat(
         "cell", F.when(F.col("n_blank") == 1, F.lit(" refers to a blank cell (")).otherwise(F.lit(" refers to blank cells (")), listed, F.lit("), but "), F.col("clean").cast("string"),
         F.when(F.col("clean") == 1, F.lit(" other cell in ")).otherwise(F.lit(" other cells in ")), F.col("sheet"), F.lit("!"), F.col("span"), F.lit(" (pattern "), F.col("pattern"),

@@ -142,6 +142,9 @@ def _issue(name: str) -> str:
     return f"{_I} SELECT workbook, cell, severity, explanation FROM {name}"
 
 
+_FILES = """WITH book AS (SELECT n_name, CAST(n_nationkey AS INTEGER) AS n, n_regionkey || '/book' || (n_nationkey % 3)
+          || CASE n_nationkey % 4 WHEN 0 THEN '' WHEN 1 THEN '.XLSX' WHEN 2 THEN '.xlsm' ELSE '.Xlsm' END AS workbook FROM nation)"""
+
 ORACLES = {
     "src_dense_grid": f"""WITH {_CELLS} SELECT workbook, sheet, max(row) * max(col) AS n_cells, max(row) * max(col) - count(*) AS n_blank FROM cells GROUP BY 1, 2""",
     "src_skip_log": f"""{_FORMULAS} SELECT workbook, row, 'LET or LAMBDA' AS reason FROM f WHERE row % 6 IN (0, 2, 4) UNION ALL SELECT workbook, row, 'structured reference' FROM f WHERE row % 6 IN (1, 4)""",
@@ -203,6 +206,27 @@ ORACLES = {
     "ev_clean_baseline": f"""{_T}, clean AS (SELECT workbook FROM truth GROUP BY 1 HAVING NOT bool_or(state = 'injected_bug'))
         SELECT (SELECT count(*) FROM clean) AS entries, count(*) FILTER (outcome <> 'true_positive') AS raw_flags, count(*) FILTER (outcome = 'false_positive') AS unexplained FROM scored WHERE workbook IN (SELECT workbook FROM clean)""",
     "lb_labels": f"{_C} SELECT workbook, sheet, span, label, basis FROM labels_",
+    # the seeded shuffle (Mersenne Twister, seed 42) of the 25 names
+    "lb_split": """SELECT 'NATION_' || k AS workbook, part FROM (VALUES ('23', 'train'), ('2', 'train'), ('17', 'train'), ('4', 'train'), ('3', 'train'), ('14', 'train'), ('13', 'train'), ('18', 'train'), ('22', 'train'), ('6', 'train'), ('19', 'train'), ('24', 'train'), ('1', 'train'), ('21', 'train'), ('7', 'train'), ('20', 'train'), ('10', 'train'), ('8', 'train'), ('12', 'val'), ('9', 'val'), ('15', 'val'), ('16', 'val'), ('0', 'test'), ('11', 'test'), ('5', 'test')) t(k, part)""",
+    "src_workbook_cells": f"""{_FILES}, size AS (SELECT * FROM (VALUES ('Data', 0, 3, 4), ('Other tab', 1, 2, 1)) t(sheet, sheet_idx, rows, cols)),
+        grid AS (SELECT book.*, sheet, sheet_idx, r.row, c.col FROM book, size, range(1, 4) r(row), range(1, 5) c(col) WHERE r.row <= rows AND c.col <= cols)
+        SELECT workbook, sheet, sheet_idx, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col,
+          CASE WHEN sheet = 'Data' AND row = 3 AND col = 4 THEN '=LET(a,1,a)' WHEN sheet = 'Other tab' AND row = 2 THEN '=Data!A' || (n + 1) END AS formula,
+          CASE WHEN sheet = 'Data' AND row = 1 AND col = 1 THEN 'str' WHEN sheet = 'Data' AND row = 1 AND col = 3 THEN 'num' WHEN sheet = 'Data' AND row = 3 AND col = 1 THEN 'bool' END AS value_type,
+          CASE WHEN sheet = 'Data' AND row = 1 AND col = 3 THEN n * 1.5::DOUBLE END AS value_num, CASE WHEN sheet = 'Data' AND row = 1 AND col = 1 THEN n_name END AS value_str,
+          CASE WHEN sheet = 'Data' AND row = 3 AND col = 1 THEN n % 2 = 0 END AS value_bool, sheet = 'Data' AND row <= 2 AND col <= 2 AS merged FROM grid""",
+    "src_named_ranges": f"""{_FILES} SELECT workbook, 'rate_' || n AS name, 'Data!$A$' || (n + 1) AS refers_to, 'workbook' AS scope FROM book UNION ALL SELECT workbook, 'own', '$B$2', 'Other tab' FROM book""",
+    "src_file_skips": f"""{_FILES} SELECT workbook, 'Data' AS sheet, CAST(3 AS INTEGER) AS row, CAST(4 AS INTEGER) AS col, 'LET or LAMBDA' AS reason FROM book""",
+    "src_file_merges": f"""{_FILES} SELECT workbook, 'Data' AS sheet, CAST(1 AS INTEGER) AS r0, CAST(1 AS INTEGER) AS c0, CAST(2 AS INTEGER) AS r1, CAST(2 AS INTEGER) AS c1 FROM book""",
+    "fn_literals": """WITH p AS (SELECT DISTINCT p_partkey % 8 AS k, CASE WHEN p_partkey % 8 = 4 THEN 0 ELSE p_size END AS z FROM part)
+        SELECT CASE k WHEN 0 THEN '=A1*' || z || '.50' WHEN 1 THEN '=A1*' || z || 'E3' WHEN 2 THEN '=A1*0.0' || z WHEN 3 THEN '=A1&"' || z || '""q"' || '""' WHEN 4 THEN '=IF(true,"",FALSE)'
+            WHEN 5 THEN '=A1*' || z || 'e-2' WHEN 6 THEN '=A1*1234567890123456' || z ELSE '=-A1^+' || z END AS formula,
+          CASE k WHEN 0 THEN '(R[0]C[-1]*' || z || '.5)' WHEN 1 THEN '(R[0]C[-1]*' || z || '000)' WHEN 2 THEN '(R[0]C[-1]*' || rtrim('0.0' || z, '0') || ')' WHEN 3 THEN '(R[0]C[-1]&"' || z || '""q"' || '"")'
+            WHEN 4 THEN 'IF(TRUE,"",FALSE)' WHEN 5 THEN '(R[0]C[-1]*' || CASE WHEN z % 100 = 0 THEN CAST(z // 100 AS VARCHAR) ELSE rtrim((z // 100) || '.' || lpad(CAST(z % 100 AS VARCHAR), 2, '0'), '0') END || ')'
+            WHEN 6 THEN '(R[0]C[-1]*' || replace(CAST(CAST('1234567890123456' || z AS DOUBLE) AS VARCHAR), 'e+', 'e+') || ')' ELSE '((-R[0]C[-1])^(+' || z || '))' END AS pattern FROM p""",
+    "gr_wide_ranges": """SELECT CAST(n_nationkey + 10 AS INTEGER) AS row, 'T' AS p_sheet, CAST(n_nationkey + 1 AS BIGINT) AS n, CAST((n_nationkey + 1) * (n_nationkey + 2) // 2 AS BIGINT) AS rows,
+          CAST(4 * (n_nationkey + 1) AS BIGINT) AS cols, CAST(n_nationkey AS BIGINT) AS last FROM nation WHERE n_nationkey > 0
+        UNION ALL SELECT 10, 'Wide', 1300000, 32500650000, 17550000, 1299999 FROM nation WHERE n_nationkey = 0""",
     "lb_readiness": f"""{_C}, p AS (SELECT label, pattern, CASE WHEN CAST(workbook AS BIGINT) % 10 < 7 THEN 'train' WHEN CAST(workbook AS BIGINT) % 10 = 7 THEN 'val' ELSE 'test' END AS part FROM labels_ WHERE label IS NOT NULL),
         l AS (SELECT * FROM (VALUES ('subtotal'), ('intentional_override'), ('suspected_error'), ('unknown')) t(label))
         SELECT label, count(part) AS n, count(DISTINCT pattern) AS patterns, count(*) FILTER (part = 'train') AS train, count(*) FILTER (part = 'val') AS val, count(*) FILTER (part = 'test') AS test, count(part) >= 50 AS ready

@@ -14,7 +14,7 @@ from ..operators import graph as G
 from ..operators import labeling, scoring
 from ..operators import rules as R
 from ..operators import tiers as T
-from ..sources import tabular
+from ..sources import schema, tabular, xlsx
 from . import report as P
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +83,51 @@ def src_merged_membership(spark, sf_dir):
     return K.merged_membership(cells, bands).select("row", "col", "merged")
 
 
+def _files(spark, sf_dir) -> DataFrame:
+    """A workbook file per nation, as bytes: equal stems in the folders of the regions, endings in any case, a merged range, names."""
+    k, ending = F.col("n_nationkey"), F.element_at(F.array(*map(F.lit, (".xlsx", ".XLSX", ".xlsm", ".Xlsm"))), (F.col("n_nationkey") % 4 + 1).cast("int"))
+    path = F.concat(F.lit("file:/in/"), F.col("n_regionkey").cast("string"), F.lit("/book"), (k % 3).cast("string"), ending)
+
+    def write(batches):
+        import io
+
+        import pandas as pd
+
+        for batch in batches:
+            out = []
+            for name, n in zip(batch["n_name"], batch["n"].tolist()):
+                file = io.BytesIO()
+                cells = {(1, 1): name, (1, 3): n * 1.5, (2, 2): f'=B1*{n}.50&"x"', (3, 1): n % 2 == 0, (3, 4): "=LET(a,1,a)"}
+                xlsx.write_workbook(file, {"Data": cells, "Other tab": {(2, 1): f"=Data!A{n + 1}"}}, merged={"Data": ["A1:B2"]}, names=[(f"rate_{n}", f"Data!$A${n + 1}", None), ("own", "$B$2", "Other tab")])
+                out.append(file.getvalue())
+            yield pd.DataFrame({"path": batch["path"], "content": out})
+
+    rows = _read(spark, sf_dir, "nation").select(path.alias("path"), "n_name", k.cast("int").alias("n"))
+    return rows.mapInPandas(write, "path string, content binary")
+
+
+@query
+def src_workbook_cells(spark, sf_dir):
+    """Cells of workbook files, blank ones included."""
+    rows = _files(spark, sf_dir).mapInPandas(xlsx.frames("cells", "/in"), schema.CELLS)
+    return rows.select("workbook", "sheet", "sheet_idx", "row", "col", "formula", "value_type", "value_num", "value_str", "value_bool", "merged")
+
+
+@query
+def src_named_ranges(spark, sf_dir):
+    return _files(spark, sf_dir).mapInPandas(xlsx.frames("named_ranges", "/in"), schema.NAMED_RANGES)
+
+
+@query
+def src_file_skips(spark, sf_dir):
+    return _files(spark, sf_dir).mapInPandas(xlsx.frames("skipped", "/in"), schema.SKIPPED)
+
+
+@query
+def src_file_merges(spark, sf_dir):
+    return _files(spark, sf_dir).mapInPandas(xlsx.frames("merged", "/in"), schema.MERGED)
+
+
 # functions -----------------------------------------------------------------------------------------------
 
 
@@ -121,6 +166,19 @@ def fn_parse_errors(spark, sf_dir):
     return K.compiled(rows).select(F.col("row").alias("p_partkey"), "formula", "error_kind", "pattern")
 
 
+@query
+def fn_literals(spark, sf_dir):
+    """How numbers, strings and booleans are spelled in patterns."""
+    size, k = F.col("p_size").cast("string"), F.col("p_partkey") % 8
+    texts = ["=A1*{0}.50", "=A1*{0}E3", "=A1*0.0{0}", '=A1&"{0}""q"""', '=IF(true,"",FALSE)', "=A1*{0}e-2", "=A1*1234567890123456{0}", "=-A1^+{0}"]
+    formula = None
+    for i, t in enumerate(texts):
+        whole = F.regexp_replace(F.lit(t), r"\{0\}", size)
+        formula = F.when(k == i, whole) if formula is None else formula.when(k == i, whole)
+    rows = _read(spark, sf_dir, "part").select(F.lit("w").alias("workbook"), F.lit("S").alias("sheet"), F.lit(1).alias("row"), F.lit(2).alias("col"), formula.alias("formula"), F.lit(None).cast("string").alias("value_type"))
+    return K.compiled(rows.distinct()).select("formula", "pattern")
+
+
 @query
 def fn_similarity(spark, sf_dir):
     pairs = _read(spark, sf_dir, "part").select("p_brand", "p_type").distinct()
@@ -215,6 +273,16 @@ def gr_cycles(spark, sf_dir):
     return G.cycles(G.edges(_formula_cells(rows))).select(F.array_join("cells", ">").alias("cycle"))
 
 
+@query
+def gr_wide_ranges(spark, sf_dir):
+    """Edges of running totals, and of one range of 1.3 million cells."""
+    k = F.col("n_nationkey").cast("int")
+    total = F.concat(F.lit("=SUM($D$1:D"), (k + 1).cast("string"), F.lit(")"))
+    rows = _read(spark, sf_dir, "nation").select((k + 10).alias("r"), F.when(k == 0, F.lit("=SUM(Wide!A1:Z50000)")).otherwise(total).alias("f"))
+    found = G.edges(_formula_cells(rows)).groupBy("row", "p_sheet")
+    return found.agg(F.count(F.lit(1)).alias("n"), F.sum("p_row").alias("rows"), F.sum("p_col").alias("cols"), F.max("pos").alias("last"))
+
+
 # blocks --------------------------------------------------------------------------------------------------
 
 
@@ -365,15 +433,12 @@ def lb_readiness(spark, sf_dir):
     found = _labelled(spark, sf_dir)[1]
     k = F.col("c_custkey") % 10
     parts = _read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("workbook"), F.when(k < 7, "train").when(k == 7, "val").otherwise("test").alias("part"))
-    rows = found.where("label IS NOT NULL").join(parts, "workbook", "left")
-    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("pattern").alias("patterns"), *(F.count(F.when(F.col("part") == p, 1)).alias(p) for p in ("train", "val", "test")))
-    every = spark.createDataFrame([(x,) for x in labeling.LABELS], "label string")
-    return F.broadcast(every).join(counts, "label", "left").fillna(0).withColumn("ready", F.col("n") >= labeling.FLOOR)
+    return labeling.readiness(found, parts)
 
 
 @query
 def lb_split(spark, sf_dir):
-    """The seeded split of region and nation names (a Mersenne Twister shuffle: no SQL)."""
+    """The seeded split of the nations' names."""
     names = [r[0] for r in _read(spark, sf_dir, "nation").select("n_name").distinct().collect()]
     return labeling.split_table(spark, labeling.split_entries(names))
 

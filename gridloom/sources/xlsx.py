@@ -13,15 +13,21 @@ import re
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timedelta
+from itertools import islice
+from urllib.parse import unquote
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape, quoteattr
 
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.formula import column_index, column_letters
 from . import schema
 
 SUFFIXES = (".xlsx", ".xlsm")
+FILES = "*.[xX][lL][sS][xXmM]"
+#: Rows of a workbook that are handed on at a time.
+ROWS = 20_000
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _REF = re.compile(r"\$?([A-Z]{1,3})\$?(\d+)")
@@ -31,7 +37,8 @@ _DATE_BUILTIN = set(range(14, 23)) | {45, 46, 47}
 _LITERAL_PARTS = re.compile(r'"[^"]*"|\\.|\[[^\]]*\]')
 
 LET_OR_LAMBDA = r"(?i)\b(LET|LAMBDA)\s*\("
-STRUCTURED = r"[A-Za-z_][A-Za-z0-9_]*\[[^\]]*\]"
+#: A table's name and one column; nested brackets and empty ones aren't logged.
+STRUCTURED = r"[A-Za-z_][A-Za-z0-9_]*\[[^\[\]]+\]"
 
 
 def check_suffix(path: str) -> None:
@@ -39,6 +46,19 @@ def check_suffix(path: str) -> None:
         raise ValueError(f"unsupported workbook type {os.path.splitext(path)[1]!r}: expected one of {', '.join(SUFFIXES)}")
 
 
+def workbook_name(file: str, root: str = "") -> str:
+    """A workbook's name: the file's path below ``root`` (its name alone where the root is the file or isn't given, the whole path where it lies elsewhere)
+    without a final ``.xlsx``. Any other ending stays, so files of one stem are different workbooks."""
+    bare = lambda path: unquote(path.split("://")[-1].removeprefix("file:")) if ":/" in path else path
+    file, root = bare(file), bare(root).rstrip("/")
+    if root and file.startswith(root + "/"):
+        file = file[len(root) + 1 :]
+    elif not root or file == root:
+        file = file.rsplit("/", 1)[-1]
+    stem, suffix = os.path.splitext(file)
+    return stem if suffix == ".xlsx" and os.path.splitext(stem)[1].lower() not in SUFFIXES else file
+
+
 def _at(ref: str) -> tuple[int, int]:
     m = _REF.fullmatch(ref)
     if not m:
@@ -239,21 +259,26 @@ def workbook_rows(name: str, data: bytes, table: str) -> Iterator[tuple]:
         if not known:
             continue
         blank = {"number_format": "General", "formula": None, "value": None}
-        inner = {(r, c): (r, c) != (m[0], m[1]) for m in merged for r in range(m[0], m[2] + 1) for c in range(m[1], m[3] + 1)}
+        waiting, spans, width = sorted(merged, reverse=True), [], max(c for _, c in known)
         for row in range(1, max(r for r, _ in known) + 1):
-            for col in range(1, max(c for _, c in known) + 1):
+            # the merged ranges that reach into this row: bounds, never their cells
+            spans = [m for m in spans if m[2] >= row]
+            while waiting and waiting[-1][0] <= row:
+                spans.append(waiting.pop())
+            for col in range(1, width + 1):
                 if (row, col) in bad:
                     continue
                 cell = stored.get((row, col), blank)
-                hidden = inner.get((row, col), False)
+                own = next((m for m in spans if m[1] <= col <= m[3]), None)
+                hidden = own is not None and (row, col) != (own[0], own[1])
                 values = value_columns(None if hidden else cell["value"])
-                yield (name, sheet, index, row, col, None if hidden else cell["formula"], *values.values(), cell["number_format"], (row, col) in inner)
+                yield (name, sheet, index, row, col, None if hidden else cell["formula"], *values.values(), cell["number_format"], own is not None)
 
 
 class _File(InputPartition):
-    def __init__(self, path: str):
+    def __init__(self, path: str, root: str):
         super().__init__(path)
-        self.path = path
+        self.path, self.root = path, root
 
 
 class _Reader(DataSourceReader):
@@ -261,16 +286,21 @@ class _Reader(DataSourceReader):
         self.path, self.table = options.get("path", ""), options.get("table", "cells")
 
     def partitions(self):
-        path = self.path.removeprefix("file://")
-        if os.path.isdir(path):
-            found = sorted(os.path.join(path, n) for n in os.listdir(path) if os.path.splitext(n)[1].lower() in SUFFIXES)
-            return [_File(p) for p in found]
+        store, path = _store(self.path)
+        if store.get_file_info(path).type == fs.FileType.Directory:
+            found = sorted(f.path for f in store.get_file_info(fs.FileSelector(path)) if f.type == fs.FileType.File and os.path.splitext(f.path)[1].lower() in SUFFIXES)
+            return [_File(p, path) for p in found]
         check_suffix(path)
-        return [_File(path)]
+        return [_File(path, path)]
 
     def read(self, partition):
-        with open(partition.path, "rb") as f:
-            yield from workbook_rows(os.path.splitext(os.path.basename(partition.path))[0], f.read(), self.table)
+        store, _ = _store(self.path)
+        with store.open_input_file(partition.path) as f:
+            yield from workbook_rows(workbook_name(partition.path, partition.root), f.read(), self.table)
+
+
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path.removeprefix("file:")))
 
 
 class WorkbookSource(DataSource):
@@ -291,7 +321,13 @@ def read_workbooks(spark, path: str, table: str = "cells"):
     tables = {"cells": schema.CELLS, "named_ranges": schema.NAMED_RANGES, "skipped": schema.SKIPPED, "merged": schema.MERGED}
     if os.path.splitext(path)[1]:
         check_suffix(path)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{xlsx,xlsm,XLSX,XLSM}").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", FILES).load(path).select("path", "content")
+    return files.mapInPandas(frames(table, path), tables[table])
+
+
+def frames(table: str, root: str):
+    """A function for mapInPandas: (path, content) of workbook files to the rows of a table, ROWS at a time."""
+    tables = {"cells": schema.CELLS, "named_ranges": schema.NAMED_RANGES, "skipped": schema.SKIPPED, "merged": schema.MERGED}
     names = [part.split()[0] for part in tables[table].split(", ")]
 
     def parse(batches):
@@ -299,11 +335,12 @@ def read_workbooks(spark, path: str, table: str = "cells"):
 
         for batch in batches:
             for file, content in zip(batch["path"], batch["content"]):
-                rows = list(workbook_rows(os.path.splitext(os.path.basename(file))[0], content, table))
-                frame = pd.DataFrame(rows, columns=names).astype(object)
-                yield frame.where(frame.notna(), None)
+                rows = workbook_rows(workbook_name(file, root), content, table)
+                while some := list(islice(rows, ROWS)):
+                    frame = pd.DataFrame(some, columns=names).astype(object)
+                    yield frame.where(frame.notna(), None)
 
-    return files.mapInPandas(parse, tables[table])
+    return parse
 
 
 def write_workbook(path: str, sheets: dict[str, dict[tuple[int, int], object]], merged: dict[str, list[str]] | None = None, names: list[tuple[str, str, str | None]] = (), formats: dict[str, dict[tuple[int, int], str]] | None = None, arrays: dict[str, dict[tuple[int, int], str]] | None = None) -> None:

@@ -2,41 +2,32 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import rules as R
 from ..sources import schema
-from ..sources.xlsx import workbook_rows
+from ..sources.xlsx import FILES, frames
 
 
-def stream_cells(spark: SparkSession, folder: str) -> DataFrame:
-    """Cells of the workbook files that arrive in a folder."""
+def stream_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Workbook files (path, content) that arrive in a folder."""
     kind = "path string, modificationTime timestamp, length long, content binary"
-    files = spark.readStream.format("binaryFile").schema(kind).option("pathGlobFilter", "*.{xlsx,xlsm}").load(folder).select("path", "content")
+    return spark.readStream.format("binaryFile").schema(kind).option("pathGlobFilter", FILES).load(folder).select("path", "content")
 
-    def parse(batches):
-        import pandas as pd
 
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                rows = list(workbook_rows(os.path.splitext(os.path.basename(path))[0], content, "cells"))
-                frame = pd.DataFrame(rows, columns=schema.CELL_NAMES).astype(object)
-                yield frame.where(frame.notna(), None)
-
-    return files.mapInPandas(parse, schema.CELLS)
+def stream_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells of the workbook files that arrive in a folder."""
+    return stream_files(spark, folder).mapInPandas(frames("cells", folder), schema.CELLS)
 
 
-def stream_issues(cells: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Appends the issues of each batch of workbooks. A workbook is whole in its batch, so no state is kept between batches."""
+def stream_issues(files: DataFrame, folder: str, out: str, checkpoint: str) -> StreamingQuery:
+    """Appends the issues of each batch of workbook files, with their named ranges resolved. A workbook is whole in its batch, so no state is kept between batches."""
 
     def write(batch: DataFrame, number: int) -> None:
-        a = R.analyze(batch)
+        a = R.analyze(batch.mapInPandas(frames("cells", folder), schema.CELLS), batch.mapInPandas(frames("named_ranges", folder), schema.NAMED_RANGES))
         # a batch that is run again after a failure replaces its own folder
         R.issues(a).write.mode("overwrite").parquet(f"{out}/batch={number}")
-        for kept in (a.compiled, a.blocks, a.neighbors):
-            kept.unpersist()
+        a.unpersist()
 
-    return cells.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -176,6 +176,21 @@ def test_stream(spark, tmp_path):
     from gridloom import streaming
 
     corpus.write_fixtures(str(tmp_path / "in"))
-    run = streaming.stream_issues(streaming.stream_cells(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state"))
+    run = streaming.stream_issues(streaming.stream_files(spark, str(tmp_path / "in")), str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"))
     run.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).where("severity = 'high'").count() == 6
+
+
+def test_workbook_names():
+    names = ["/in/a.xlsx", "/in/a.XLSX", "/in/a.xlsm", "/in/a.Xlsx", "/in/x/a.xlsx", "/in/a.xlsm.xlsx", "/else/a.xlsx", "file:///in/my%20book.xlsx"]
+    assert [xlsx.workbook_name(n, "file:/in") for n in names] == ["a", "a.XLSX", "a.xlsm", "a.Xlsx", "x/a", "a.xlsm.xlsx", "/else/a", "my book"]
+    assert xlsx.workbook_name("file:/in/a.xlsx") == xlsx.workbook_name("/in/a.xlsx", "/in/a.xlsx") == "a"
+
+
+def test_files_of_one_stem(spark, tmp_path):
+    for name in ("a.xlsx", "a.xlsm", "b.Xlsx"):
+        xlsx.write_workbook(str(tmp_path / name), {"S": {(1, 1): name}})
+    want = {("a", "a.xlsx"), ("a.xlsm", "a.xlsm"), ("b.Xlsx", "b.Xlsx")}
+    assert {(r.workbook, r.value_str) for r in xlsx.read_workbooks(spark, str(tmp_path)).collect()} == want
+    spark.dataSource.register(xlsx.WorkbookSource)
+    assert {(r.workbook, r.value_str) for r in spark.read.format("workbook").load(str(tmp_path)).collect()} == want
