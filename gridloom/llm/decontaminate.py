@@ -174,21 +174,30 @@ def _scan(column: pa.Array, blocks: Benchmark):
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, item_ids (sorted strings), contaminated."""
+    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, item_ids (sorted strings), contaminated, longest and longest_at.
+
+    ``longest``: words of the longest verbatim match with an item (0: none). ``longest_at``: the word, from 0, at which the first one of that length begins (-1: none).
+    """
     blocks = Benchmark(benchmark, window, block_bytes)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks.shards(batches):
             ids = batch.column(0)
-            for lo, hi, n_words, n_hit, names, _ in _scan(batch.column(1), blocks):
+            for lo, hi, n_words, n_hit, names, matches in _scan(batch.column(1), blocks):
                 items = [sorted(names.get(d, ())) for d in range(hi - lo)]
+                best: dict[int, tuple[int, int]] = {}
+                for d, _, _, at, n in matches:
+                    best[d - lo] = max(best.get(d - lo, (0, 0)), (n, -at))
+                longest, places = np.zeros(hi - lo, np.int64), np.full(hi - lo, -1, np.int64)
+                for d, (n, at) in best.items():
+                    longest[d], places[d] = n, -at
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(n_hit > 0)],
-                    ["doc_id", "n_words", "n_hit", "n_items", "item_ids", "contaminated"],
+                    [ids.slice(lo, hi - lo), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(n_hit > 0), pa.array(longest), pa.array(places)],
+                    ["doc_id", "n_words", "n_hit", "n_items", "item_ids", "contaminated", "longest", "longest_at"],
                 )
 
-    schema = f"doc_id {kind}, n_words long, n_hit long, n_items long, item_ids array<string>, contaminated boolean"
+    schema = f"doc_id {kind}, n_words long, n_hit long, n_items long, item_ids array<string>, contaminated boolean, longest long, longest_at long"
     return docs.select("doc_id", "text").mapInArrow(judge, schema)
 
 
@@ -224,7 +233,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 def digests(rows: DataFrame) -> DataFrame:
     """The query's columns from those of ``contamination``."""
     names = F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256")
-    return rows.select("doc_id", "n_words", "n_hit", "n_items", names, "contaminated")
+    return rows.select("doc_id", "n_words", "n_hit", "n_items", names, "contaminated", "longest", "longest_at")
 
 
 ORACLE = r"""
@@ -234,21 +243,25 @@ WITH d AS (
                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM documents),
 i AS (
-  SELECT CAST(item_id AS VARCHAR) AS item,
-         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  SELECT item, row_number() OVER () AS k,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM benchmark),
+  FROM (SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), '') AS item, coalesce(text, '') AS text FROM benchmark)),
 win AS (
-  SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[p : p + least(10, len(w)) - 1], ' ') AS s
-  FROM (SELECT item, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p FROM i WHERE len(w) > 0)),
+  SELECT item, k, p AS q, least(10, len(w)) AS n, array_to_string(w[p : p + least(10, len(w)) - 1], ' ') AS s
+  FROM (SELECT item, k, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p FROM i WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM win),
 pos AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS p FROM d),
 cand AS (
   SELECT r, p, n, array_to_string(w[p : p + n - 1], ' ') AS s FROM pos, sizes WHERE p + n - 1 <= len(w)),
-hit AS (SELECT DISTINCT r, p, cand.n, item FROM cand JOIN win ON cand.s = win.s AND cand.n = win.n),
+hit AS (SELECT r, p, q, k, cand.n, item FROM cand JOIN win ON cand.s = win.s AND cand.n = win.n),
 words AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(p, p + n)) AS q FROM hit) GROUP BY r),
-items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r),
+steps AS (SELECT r, k, n, p, p - q AS shift, p - row_number() OVER (PARTITION BY r, k, p - q ORDER BY p) AS island FROM hit),
+runs AS (SELECT r, min(p) - 1 AS spot, count(*) + min(n) - 1 AS size FROM steps GROUP BY r, k, shift, island),
+best AS (SELECT r, max(size) AS longest, arg_max(spot, size * 1000000000 - spot) AS longest_at FROM runs GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
-       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
-FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated,
+       CAST(coalesce(longest, 0) AS BIGINT) AS longest, CAST(coalesce(longest_at, -1) AS BIGINT) AS longest_at
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r) LEFT JOIN best USING (r)
 """
