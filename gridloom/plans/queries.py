@@ -417,9 +417,10 @@ def ev_clean_baseline(spark, sf_dir):
 # labels --------------------------------------------------------------------------------------------------
 
 
-def _labelled(spark, sf_dir) -> tuple[R.Analysis, DataFrame]:
+def _labelled(spark, sf_dir) -> tuple[R.Analysis, DataFrame, DataFrame]:
     a = _analysis(spark, sf_dir)
-    return a, labeling.labels(a.blocks, a.neighbors, tabular.truth(spark, sf_dir), _issues(spark, sf_dir)).persist()
+    issues = R.issues(a).persist()
+    return a, labeling.labels(a.blocks, a.neighbors, tabular.truth(spark, sf_dir), issues).persist(), issues
 
 
 @query
@@ -446,9 +447,9 @@ def lb_split(spark, sf_dir):
 @query
 def ml_suppression(spark, sf_dir):
     """Issues that stay when blocks whose label is intentional_override count as predicted so."""
-    a, found = _labelled(spark, sf_dir)
+    a, found, issues = _labelled(spark, sf_dir)
     predicted = found.withColumn("predicted", F.coalesce("label", F.lit("unknown")))
-    stays, gone = T.split_issues(_issues(spark, sf_dir), T.suppressed_cells(a.blocks, a.neighbors, predicted))
+    stays, gone = T.split_issues(issues, T.suppressed_cells(a.blocks, a.neighbors, predicted))
     mark = lambda df, v: df.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n")).withColumn("suppressed", F.lit(v))
     return mark(stays, False).unionByName(mark(gone, True))
 
