@@ -12,7 +12,7 @@ more, under a name of its attempt, and renames them when complete. The content d
 task that is run again writes the same files. Only a row per file reaches the driver.
 
 Null texts count as empty and hold the end id alone. Rows without doc_id come last. Repeated doc_ids are ordered by
-text, nulls first. No rows: no files.
+text, nulls first. No rows: no files. A doc_id that isn't an integer is a TypeError: the files hold it in 64 bits.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import shared_path
 from .text import coded, pieces, ragged, string_bytes
@@ -300,6 +301,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, file_ids: in
             done.append((path, task.partitionId(), seq, out.n))
         yield pa.RecordBatch.from_pylist([dict(zip(("path", "part", "seq", "n"), x)) for x in done], pa.schema([("path", pa.string()), ("part", pa.int64()), ("seq", pa.int64()), ("n", pa.int64())]))
 
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError(f"doc_id is {docs.schema['doc_id'].dataType.simpleString()}, not an integer")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     order = F.col("doc_id").asc_nulls_last()
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

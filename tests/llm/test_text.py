@@ -159,6 +159,8 @@ def test_token_files(docs, no_docs, rows, tmp_path):
     file = token_files.TokenFile(files[0][0])
     assert file.bits == 16 and file.ids(5, 900).tolist() == every[5:900] and file.document(2).tolist() == every[want[2][1] : want[3][1]]
     assert token_files.token_rows(no_docs, P.path("byte_bpe_50k.json")).count() == 0
+    with pytest.raises(TypeError):
+        token_files.token_rows(no_docs.withColumn("doc_id", F.lit("a")), P.path("byte_bpe_50k.json"))
 
 
 def test_library_pieces():
