@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import columns as C
 from ..functions.formula import FormulaError, parse, references
+from .tables import discard, written
 
 #: Cells of a range that one task makes: a larger range is cut into bands of rows, which are dealt to the tasks.
 BAND_CELLS = 1 << 20
@@ -137,8 +138,44 @@ def _levels(src: list[str], dst: list[str]) -> dict[str, int]:
     return {n: level[n] for n, k in open_.items() if not k}
 
 
-def levels(found: DataFrame) -> DataFrame:
-    """Topological levels per workbook: workbook, cell, level; null on or behind a cycle. A workbook is one task's work."""
+#: Edges of a workbook that one task takes at once; the levels of a larger one are found by rounds of joins.
+LARGE = 500_000
+
+
+def _levels_in_rounds(pairs: DataFrame) -> DataFrame:
+    """Levels of pairs(workbook, src, dst), for graphs of any size: workbook, cell, level.
+
+    A row (workbook, cell, needs, steps) says: level at least that of ``needs`` plus steps; without ``needs``, at least steps. Each round puts the
+    rows of cells that need at most one other in the place of references to them, so a chain halves and takes a logarithmic
+    number of rounds. No path without a cycle has as many steps as there are cells, so what gets that far is on or behind a cycle.
+    """
+    spark = pairs.sparkSession
+    key = ["workbook", "cell"]
+    needs = pairs.select("workbook", F.col("dst").alias("cell"), F.col("src").alias("needs"), F.lit(1).cast("long").alias("steps"))
+    cells = pairs.select("workbook", F.explode(F.array("src", "dst")).alias("cell")).distinct()
+    cells = cells.select(*key, F.lit(None).cast("string").alias("needs"), F.lit(0).cast("long").alias("steps"))
+    rows = written(cells.unionByName(needs))
+    most = rows.where("needs IS NULL").count()
+    while True:
+        plain = rows.groupBy(*key).agg(F.count("needs").alias("open"), F.max(F.when(F.col("needs").isNotNull(), F.col("steps"))).alias("far"))
+        plain = plain.where(f"open = 0 OR open = 1 AND far < {most}").select("workbook", F.col("cell").alias("needs"))
+        inner = rows.select("workbook", F.col("cell").alias("needs"), F.col("needs").alias("next"), F.col("steps").alias("more")).join(plain, ["workbook", "needs"])
+        moving = rows.where(f"needs IS NOT NULL AND steps < {most}").join(inner, ["workbook", "needs"], "left").withColumn("moved", F.col("more").isNotNull())
+        moving = moving.select(*key, F.when(F.col("moved"), F.col("next")).otherwise(F.col("needs")).alias("needs"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), "moved")
+        still = rows.where(f"needs IS NULL OR steps >= {most}").withColumn("moved", F.lit(False))
+        after = written(still.unionByName(moving).groupBy(*key, "needs").agg(F.max("steps").alias("steps"), F.max("moved").alias("moved")))
+        discard(spark, rows)
+        rows = after
+        if after.where("moved").isEmpty():
+            ends = rows.groupBy(*key).agg(F.count("needs").alias("open"), F.max("steps").alias("level"))
+            return ends.select(*key, F.when(F.col("open") == 0, F.col("level")).alias("level"))
+
+
+def levels(found: DataFrame, large: int = LARGE) -> DataFrame:
+    """Topological levels per workbook: workbook, cell, level; null on or behind a cycle.
+
+    A workbook of up to ``large`` edges is one task's work; larger ones go by rounds of joins, with the same result.
+    """
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
         level = _levels(frame["src"].tolist(), frame["dst"].tolist())
@@ -146,7 +183,13 @@ def levels(found: DataFrame) -> DataFrame:
         values = pd.array([level.get(n) for n in names], dtype="Int64")
         return pd.DataFrame({"workbook": frame["workbook"].iloc[0] if len(frame) else None, "cell": names, "level": values})
 
-    return _pairs(found).groupBy("workbook").applyInPandas(work, "workbook string, cell string, level long")
+    pairs = _pairs(found)
+    big = pairs.groupBy("workbook").count().where(F.col("count") > large).select("workbook")
+    kind = "workbook string, cell string, level long"
+    if big.isEmpty():
+        return pairs.groupBy("workbook").applyInPandas(work, kind)
+    small = pairs.join(big, "workbook", "left_anti").groupBy("workbook").applyInPandas(work, kind)
+    return small.unionByName(_levels_in_rounds(pairs.join(big, "workbook", "left_semi").distinct()))
 
 
 def topological_order(found: DataFrame, workbook: str) -> list[str]:
@@ -198,9 +241,18 @@ def cycles(found: DataFrame, limit: int | None = None) -> DataFrame:
     """
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
-        level = _levels(frame["src"].tolist(), frame["dst"].tolist())
-        left = frame[~frame["src"].isin(level) & ~frame["dst"].isin(level)].drop_duplicates(["src", "dst"])
-        out = list(_cycles(left["src"].tolist(), left["dst"].tolist(), limit))
+        out = list(_cycles(frame["src"].tolist(), frame["dst"].tolist(), limit))
         return pd.DataFrame({"workbook": [frame["workbook"].iloc[0]] * len(out), "cells": out, "truncated": [len(out) == limit] * len(out)})
 
-    return _pairs(found).groupBy("workbook").applyInPandas(work, "workbook string, cells array<string>, truncated boolean")
+    def open_ends(pairs: DataFrame, rank: DataFrame) -> DataFrame:
+        """The edges between cells without a level."""
+        for end in ("src", "dst"):
+            pairs = pairs.join(rank.where("level IS NULL").select("workbook", F.col("cell").alias(end)), ["workbook", end], "left_semi")
+        return pairs
+
+    # what lies behind a cycle goes first, then what lies before one: a task gets the cells on cycles, and between them
+    pairs = _pairs(found).distinct()
+    pairs = open_ends(pairs, levels(found))
+    back = found.select("workbook", *(F.col(f"p_{c}").alias(c) for c in CELL), *(F.col(c).alias(f"p_{c}") for c in CELL))
+    pairs = open_ends(pairs, levels(back))
+    return pairs.groupBy("workbook").applyInPandas(work, "workbook string, cells array<string>, truncated boolean")

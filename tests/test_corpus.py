@@ -194,3 +194,36 @@ def test_files_of_one_stem(spark, tmp_path):
     assert {(r.workbook, r.value_str) for r in xlsx.read_workbooks(spark, str(tmp_path)).collect()} == want
     spark.dataSource.register(xlsx.WorkbookSource)
     assert {(r.workbook, r.value_str) for r in spark.read.format("workbook").load(str(tmp_path)).collect()} == want
+
+
+def test_levels_and_cycles_by_rounds(spark):
+    """A chain of 300, random graphs with cycles, and what lies behind and before them: rounds of joins and one task agree with plain code."""
+    import random
+
+    rnd = random.Random(3)
+    edges = {("chain", k, k + 1) for k in range(1, 300)}
+    for w in range(4):
+        edges |= {(f"w{w}", a, b) for a in range(1, 30) for b in rnd.sample(range(a + 1, 34), rnd.randint(0, 3))}
+        edges |= {(f"w{w}", rnd.randint(20, 30), rnd.randint(10, 24)) for _ in range(2 * w)}
+    edges.add(("self", 5, 5))
+    rows = [(w, "S", a, 1, "S", b, 1) for w, a, b in edges]
+    found = spark.createDataFrame(rows, "workbook string, p_sheet string, p_row int, p_col int, sheet string, row int, col int")
+    one, many = ({(r.workbook, r.cell): r.level for r in G.levels(found, n).collect()} for n in (G.LARGE, 0))
+    assert one == many and one["chain", "S!A300"] == 299 and one["self", "S!A5"] is None
+    got = {(r.workbook, frozenset(r.cells)) for r in G.cycles(found).collect()}
+    after = {}
+    for w, a, b in edges:
+        after.setdefault((w, a), []).append(b)
+    want = set()
+
+    def walk(w, path):
+        for b in after.get((w, path[-1]), ()):
+            if b == path[0]:
+                want.add((w, frozenset(f"S!A{k}" for k in path)))
+            elif b > path[0] and b not in path:
+                walk(w, [*path, b])
+
+    for w, a, _ in edges:
+        if w != "chain":
+            walk(w, [a])
+    assert got == want and len(want) >= 3
