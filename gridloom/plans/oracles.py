@@ -227,6 +227,12 @@ ORACLES = {
     "gr_wide_ranges": """SELECT CAST(n_nationkey + 10 AS INTEGER) AS row, 'T' AS p_sheet, CAST(n_nationkey + 1 AS BIGINT) AS n, CAST((n_nationkey + 1) * (n_nationkey + 2) // 2 AS BIGINT) AS rows,
           CAST(4 * (n_nationkey + 1) AS BIGINT) AS cols, CAST(n_nationkey AS BIGINT) AS last FROM nation WHERE n_nationkey > 0
         UNION ALL SELECT 10, 'Wide', 1300000, 32500650000, 17550000, 1299999 FROM nation WHERE n_nationkey = 0""",
+    # fixed values: what the generated corpus holds, and what the rules find in it
+    "gn_corpus": "SELECT state, n::BIGINT AS n, entries::BIGINT AS entries FROM (VALUES ('subtotal', 510, 60), ('clean', 459, 84), ('injected_bug', 61, 50), ('ambiguous', 45, 20), ('known_intentional', 30, 30)) t(state, n, entries)",
+    "ev_corpus": """SELECT rule_id, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, known::BIGINT AS known, ambiguous::BIGINT AS ambiguous FROM (VALUES ('literal-in-formula-block', 21, 0, 0, 22, 4), ('range-boundary-mismatch', 10, 0, 0, 0, 0), ('reference-to-blank', 20, 0, 0, 0, 39),
+        ('inconsistent-anchoring', 10, 0, 0, 0, 2)) t(rule_id, tp, fp, fn, known, ambiguous)""",
+    "ev_corpus_baseline": "SELECT 94::BIGINT AS entries, 52::BIGINT AS raw_flags, 0::BIGINT AS unexplained",
+    "lb_corpus": "SELECT label, n::BIGINT AS n FROM (VALUES ('subtotal', 60), ('intentional_override', 5), ('suspected_error', 67), ('unknown', 20), (NULL, 10)) t(label, n)",
     "lb_readiness": f"""{_C}, p AS (SELECT label, pattern, CASE WHEN CAST(workbook AS BIGINT) % 10 < 7 THEN 'train' WHEN CAST(workbook AS BIGINT) % 10 = 7 THEN 'val' ELSE 'test' END AS part FROM labels_ WHERE label IS NOT NULL),
         l AS (SELECT * FROM (VALUES ('subtotal'), ('intentional_override'), ('suspected_error'), ('unknown')) t(label))
         SELECT label, count(part) AS n, count(DISTINCT pattern) AS patterns, count(*) FILTER (part = 'train') AS train, count(*) FILTER (part = 'val') AS val, count(*) FILTER (part = 'test') AS test, count(part) >= 50 AS ready

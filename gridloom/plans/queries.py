@@ -14,7 +14,8 @@ from ..operators import graph as G
 from ..operators import labeling, scoring
 from ..operators import rules as R
 from ..operators import tiers as T
-from ..sources import schema, tabular, xlsx
+from ..sources import corpus, schema, tabular, xlsx
+from . import evaluate
 from . import report as P
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -414,9 +415,33 @@ def ev_clean_baseline(spark, sf_dir):
     return scoring.clean_baseline(scored, truth)
 
 
+@query
+def gn_corpus(spark, sf_dir):
+    """The generated corpus: truth by state."""
+    _, truth = corpus.tables(spark)
+    return truth.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("entry").alias("entries"))
+
+
+@query
+def ev_corpus(spark, sf_dir):
+    """The rules over the generated corpus, scored against its truth."""
+    return evaluate.evaluate(*corpus.tables(spark)).rollups.select("rule_id", "tp", "fp", "fn", "known", "ambiguous")
+
+
+@query
+def ev_corpus_baseline(spark, sf_dir):
+    return evaluate.evaluate(*corpus.tables(spark)).baseline
+
+
 # labels --------------------------------------------------------------------------------------------------
 
 
+@query
+def lb_corpus(spark, sf_dir):
+    """Labels of the generated corpus's blocks."""
+    return evaluate.labelled_blocks(*corpus.tables(spark)).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _labelled(spark, sf_dir) -> tuple[R.Analysis, DataFrame, DataFrame]:
     a = _analysis(spark, sf_dir)
     issues = R.issues(a).persist()
