@@ -122,7 +122,8 @@ def near_components(
     that join's condition, so pairs that fail it are never made.
 
     ``refine`` takes rows of buckets of more than CROWDED rows, and returns them under narrower keys; what is found then is what those keys
-    find. After SPLITS times such buckets are compared as they are. ``confirm`` (with a column ``weight`` in the rows): a distance of two rows, and
+    find. Buckets of CROWDED rows are small enough for all their pairs; those that are still larger after SPLITS times are compared as above.
+    ``confirm`` (with a column ``weight`` in the rows): a distance of two rows, and
     a condition on a pair's weights summed over the keys that it shares, and its distance.
     """
     spark = keyed.sparkSession
@@ -139,22 +140,17 @@ def near_components(
         each = beside.select(*ids, F.least("weight", "other.weight").alias("w"), distance(F.col, other).alias("d"))
         return each.groupBy("a", "b").agg(F.sum("w").alias("w"), F.min("d").alias("d")).where(sound(F.col("w"), F.col("d"))).drop("w")
 
-    with scratch(spark):
-        parts = []
-        for turn in range(SPLITS + 1 if refine else 1):
-            shared = keyed.groupBy("key").agg(F.min("id").alias("one"), F.max("id").alias("two")).where("one <> two").select("key")
-            shared = materialize(shared, f"{label}-keys")
-            rows = materialize(key_prefilter(keyed, "key", shared).join(shared, "key", "left_semi").dropDuplicates(["key", "id"]), f"{label}-rows")
-            if refine and turn < SPLITS:
-                crowds = materialize(rows.groupBy("key").count().where(F.col("count") > CROWDED).select("key"), f"{label}-crowds")
-                if not crowds.isEmpty():
-                    parts.append(without(rows, "key", crowds).drop("used"))
-                    keyed = materialize(refine(key_prefilter(rows, "key", crowds).join(crowds, "key", "left_semi")), f"{label}-split")
-                    continue
-            parts.append(rows.drop("used"))
-            break
-        rows = reduce(DataFrame.unionByName, parts)
+    def shared(rows: DataFrame) -> DataFrame:
+        """The rows of keys that several items have, each once."""
+        keys = rows.groupBy("key").agg(F.min("id").alias("one"), F.max("id").alias("two")).where("one <> two").select("key")
+        keys = materialize(keys, f"{label}-keys")
+        return materialize(key_prefilter(rows, "key", keys).join(keys, "key", "left_semi").dropDuplicates(["key", "id"]), f"{label}-rows")
+
+    def checked(pairs: DataFrame, name: str) -> DataFrame:
+        return materialize(check(materialize(pairs, f"{label}-{name}")).select("a", "b"), f"{label}-{name}-links")
 
+    def star_links(rows: DataFrame) -> DataFrame:
+        """Links to the least row of a bucket."""
         if items is None:
             least = rows.groupBy("key").agg(F.min(F.struct("id", *payload)).alias("other"))
             stars = rows.join(least, "key").where((F.col("id") != F.col("other.id")) & close)
@@ -164,10 +160,10 @@ def near_components(
             stars = materialize(rows.join(least, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct(), f"{label}-candidates")
             stars = _beside(stars, items).where(close).select("a", "b", F.lit(0).alias("d"))
         # where a check costs more than a comparison, one star an item is enough to begin with
-        stars = stars.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b")) if verify else stars
-        links = materialize(check(materialize(stars, f"{label}-first")).select("a", "b"), f"{label}-stars")
-        roots = components(links, f"{label}-1")
+        return checked(stars.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b")) if verify else stars, "stars")
 
+    def rest_links(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        """Links across the components that are known."""
         rows = rows.join(roots.withColumnRenamed("root", "comp"), "id", "left")
         rows = materialize(rows.withColumn("comp", F.coalesce("comp", "id")), f"{label}-placed")
         sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
@@ -178,11 +174,33 @@ def near_components(
         if items is not None:
             crossed = materialize(crossed, f"{label}-crossed")
             crossed = crossed.join(key_prefilter(items, "id", crossed.select("id").distinct()), "id")
-        pairs = pairs_of(_across(crossed, payload, close), F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b"))
-        pairs = materialize(pairs.drop("d"), f"{label}-pairs")
-        if not pairs.isEmpty():
-            roots = components(links.unionByName(materialize(check(pairs).select("a", "b"), f"{label}-rest")), f"{label}-2")
-        return materialize(roots, label, keep=True)
+        return checked(pairs_of(_across(crossed, payload, close), F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b")), "rest")
+
+    with scratch(spark):
+        rows, links = shared(keyed), []
+        if refine:
+            small = []
+            for turn in range(SPLITS + 1):
+                crowds = materialize(rows.groupBy("key").count().where(F.col("count") > CROWDED).select("key"), f"{label}-crowds")
+                if crowds.isEmpty():
+                    small.append(rows.drop("used"))
+                    rows = None
+                    break
+                small.append(without(rows, "key", crowds).drop("used"))
+                rows = key_prefilter(rows, "key", crowds).join(crowds, "key", "left_semi")
+                if turn < SPLITS:
+                    rows = shared(materialize(refine(rows), f"{label}-split"))
+            every = reduce(DataFrame.unionByName, small)
+            beside = every.join(every.select("key", F.struct("id", *payload).alias("other")), "key").where((F.col("id") < F.col("other.id")) & close)
+            links.append(checked(pairs_of(beside, F.col("id").alias("a"), F.col("other.id").alias("b")), "pairs"))
+        if rows is not None:
+            rows = rows.drop("used")
+            links.append(star_links(rows))
+            roots = components(reduce(DataFrame.unionByName, links), f"{label}-1")
+            links.append(rest_links(rows, roots))
+            if links[-1].isEmpty():
+                return materialize(roots, label, keep=True)
+        return materialize(components(reduce(DataFrame.unionByName, links), f"{label}-2"), label, keep=True)
 
 
 def within(bits: int) -> Callable[[Side, Side], Column]:
