@@ -248,4 +248,5 @@ def keep_identified(docs: DataFrame) -> DataFrame:
         release()
         return pa.concat_arrays(out)
 
-    return docs.withColumn("lang", language("text")).where("lang <> 'und'").select(*docs.columns)
+    # called non-deterministic, so that the filter isn't pushed below it with a second evaluation
+    return docs.withColumn("lang", language.asNondeterministic()("text")).where("lang <> 'und'").select(*docs.columns)
