@@ -103,7 +103,7 @@ def _across(crossed: DataFrame, payload: list[str], close: Column) -> DataFrame:
 def near_components(
     keyed: DataFrame,
     near: Callable[[Side, Side], Column],
-    verify: Callable[[DataFrame], DataFrame] | None = None,
+    verify: Callable[[DataFrame, DataFrame | None], DataFrame] | None = None,
     items: DataFrame | None = None,
     label: str = "near",
     refine: Callable[[DataFrame], DataFrame] | None = None,
@@ -113,7 +113,8 @@ def near_components(
 
     A row per item and key; ``id`` must be unique to an item and hash-like. ``near`` makes a condition on the other columns
     of two rows (it gets two functions from a name to a column); columns too wide to travel with every key are in ``items`` instead,
-    by id. ``verify`` takes candidates (a, b) and returns those that hold. Returns (id, root) for the ids that have a link.
+    by id. ``verify`` takes candidates (a, b), and rows whose ``id`` may be among later candidates, and returns the candidates that hold. Returns
+    (id, root) for the ids that have a link.
 
     Exact, yet without all pairs of a crowded bucket: first every row of a bucket is compared with the bucket's
     least row only (of those, ``verify`` gets the closest one of an item), and components are formed; a link that this misses joins two
@@ -127,7 +128,7 @@ def near_components(
     a condition on a pair's weights summed over the keys that it shares, and its distance.
     """
     spark = keyed.sparkSession
-    check = verify or (lambda pairs: pairs)
+    check = verify or (lambda pairs, later: pairs)
     payload = [c for c in (keyed if items is None else items).columns if c not in ("id", "key", "used")]
     other = lambda c: F.col("other")[c]
     close = near(F.col, other)
@@ -146,8 +147,8 @@ def near_components(
         keys = materialize(keys, f"{label}-keys")
         return materialize(key_prefilter(rows, "key", keys).join(keys, "key", "left_semi").dropDuplicates(["key", "id"]), f"{label}-rows")
 
-    def checked(pairs: DataFrame, name: str) -> DataFrame:
-        return materialize(check(materialize(pairs, f"{label}-{name}")).select("a", "b"), f"{label}-{name}-links")
+    def checked(pairs: DataFrame, name: str, later: DataFrame | None = None) -> DataFrame:
+        return materialize(check(materialize(pairs, f"{label}-{name}"), later).select("a", "b"), f"{label}-{name}-links")
 
     def star_links(rows: DataFrame) -> DataFrame:
         """Links to the least row of a bucket."""
@@ -192,7 +193,7 @@ def near_components(
                     rows = shared(materialize(refine(rows), f"{label}-split"))
             every = reduce(DataFrame.unionByName, small)
             beside = every.join(every.select("key", F.struct("id", *payload).alias("other")), "key").where((F.col("id") < F.col("other.id")) & close)
-            links.append(checked(pairs_of(beside, F.col("id").alias("a"), F.col("other.id").alias("b")), "pairs"))
+            links.append(checked(pairs_of(beside, F.col("id").alias("a"), F.col("other.id").alias("b")), "pairs", rows))
         if rows is not None:
             rows = rows.drop("used")
             links.append(star_links(rows))

@@ -202,7 +202,7 @@ def similar_components(prints: DataFrame, texts: DataFrame, words: int = SHINGLE
     """
     keyed = prints.select("id", F.explode(F.array_distinct("blocks")).alias("key"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame, later: DataFrame | None) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         at = materialize(key_prefilter(prints.select("id", "file", "row"), "id", ids).join(ids, "id", "left_semi"), "similar-places")
         named = key_prefilter(texts, ["file", "row"], at).join(at, ["file", "row"]).select("id", "text")
