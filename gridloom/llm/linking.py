@@ -108,6 +108,7 @@ def near_components(
     label: str = "near",
     refine: Callable[[DataFrame], DataFrame] | None = None,
     confirm: tuple[Callable[[Side, Side], Column], Callable[[Column, Column], Column]] | None = None,
+    once: Callable[[Side, Side], Column] | None = None,
 ) -> DataFrame:
     """Components of the rows (id, key, ...) that link: they share a key, and ``near`` and ``verify`` hold.
 
@@ -117,7 +118,7 @@ def near_components(
     (id, root) for the ids that have a link.
 
     Exact, yet without all pairs of a crowded bucket: first every row of a bucket is compared with the bucket's
-    least row only (of those, ``verify`` gets the closest one of an item), and components are formed; a link that this misses joins two
+    least row only (of those, ``verify`` gets the closest one of an item, where ``confirm`` tells distances, else all: at most one a key), and components are formed; a link that this misses joins two
     different components, so at least one of its ends is outside the bucket's largest component. Those rows, and only those,
     are then compared with all rows of their bucket that belong to another component, in cells of bounded size. ``near`` is part of
     that join's condition, so pairs that fail it are never made.
@@ -125,7 +126,8 @@ def near_components(
     ``refine`` takes rows of buckets of more than CROWDED rows, and returns them under narrower keys; what is found then is what those keys
     find. Buckets of CROWDED rows are small enough for all their pairs; those that are still larger after SPLITS times are compared as above.
     ``confirm`` (with a column ``weight`` in the rows): a distance of two rows, and
-    a condition on a pair's weights summed over the keys that it shares, and its distance.
+    a condition on a pair's weights summed over the keys that it shares, and its distance. ``once``: holds under one of the keys that a pair
+    shares only, so that the pair isn't made under each.
     """
     spark = keyed.sparkSession
     check = verify or (lambda pairs, later: pairs)
@@ -160,8 +162,8 @@ def near_components(
             least = rows.groupBy("key").agg(F.min("id").alias("b"))
             stars = materialize(rows.join(least, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct(), f"{label}-candidates")
             stars = _beside(stars, items).where(close).select("a", "b", F.lit(0).alias("d"))
-        # where a check costs more than a comparison, one star an item is enough to begin with
-        return checked(stars.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b")) if verify else stars, "stars")
+        # where distances tell how likely a link is, one star an item is enough to begin with
+        return checked(stars.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b")) if confirm else stars, "stars")
 
     def rest_links(rows: DataFrame, roots: DataFrame) -> DataFrame:
         """Links across the components that are known."""
@@ -175,7 +177,8 @@ def near_components(
         if items is not None:
             crossed = materialize(crossed, f"{label}-crossed")
             crossed = crossed.join(key_prefilter(items, "id", crossed.select("id").distinct()), "id")
-        return checked(pairs_of(_across(crossed, payload, close), F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b")), "rest")
+        beside = _across(crossed, payload, close & once(F.col, other) if once else close)
+        return checked(pairs_of(beside, F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b")), "rest")
 
     with scratch(spark):
         rows, links = shared(keyed), []

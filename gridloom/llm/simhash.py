@@ -37,8 +37,13 @@ WIDE = 8
 WORDS = [f"f{k}" for k in range(WIDE)]
 BLOCKS, SAMPLE = 24, 7
 WIDE_BITS = 84
-#: Candidates are verified by their shingles; they may differ by three standard deviations more.
+#: Candidates are verified by their shingles. They may differ by three standard deviations more, and by no more than LIMIT in a weighted sum of
+#: differing bits and of sampled least hashes whose last four bits differ (expected at 0.8: 77 and 31.5). The weights tell 0.8 and 0.7 apart best;
+#: the limit is three standard deviations above 0.8.
 LOOSE_BITS = WIDE_BITS + 24
+BIT_WEIGHT, HASH_WEIGHT, LIMIT = 29, 54, 5050
+#: Longs of sixteen last four bits each.
+TAILS = [f"t{k}" for k in range(-(-24 * 7 // 16))]
 SIMILARITY = 0.8
 
 
@@ -136,8 +141,8 @@ def _mixed(hashes: np.ndarray, seeds: np.ndarray) -> np.ndarray:
 _SEEDS = np.random.default_rng(77).integers(1, 2**63, WIDE + BLOCKS * SAMPLE, dtype=np.uint64) | np.uint64(1)
 
 
-def _wide(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(the WIDE fingerprint words, the block keys) of a text's distinct shingle hashes."""
+def _wide(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the WIDE fingerprint words, the block keys, the last four bits of the sampled hashes) of a text's distinct shingle hashes."""
     counts, least = np.zeros((WIDE, 64), np.int64), np.full(BLOCKS * SAMPLE, 2**64 - 1, np.uint64)
     for k in range(0, len(hashes), 4096):
         more = _mixed(hashes[k : k + 4096], _SEEDS)
@@ -148,33 +153,44 @@ def _wide(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     # a block's fingerprint is the SimHash of its sampled shingles
     bits = np.unpackbits(least.view(np.uint8).reshape(BLOCKS, SAMPLE, 8), axis=2, bitorder="little").sum(axis=1, dtype=np.int64)
     blocks = (_WEIGHTS[None, :] * (2 * bits > SAMPLE)).sum(axis=1, dtype=np.uint64)
-    return words, blocks ^ _SEEDS[:BLOCKS]
+    tails = np.zeros(16 * len(TAILS), np.uint64)
+    tails[: len(least)] = least & np.uint64(15)
+    return words, blocks ^ _SEEDS[:BLOCKS], (tails.reshape(-1, 16) << (np.uint64(4) * np.arange(16, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
 
 
 def wide_fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """(file, row, doc_id, f0 ... f7, blocks) of rows(file, row, doc_id, text); no blocks for a text without words."""
+    """(file, row, doc_id, f0 ... f7, t0 ... t10, blocks) of rows(file, row, doc_id, text); no blocks for a text without words."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = string_bytes(batch.column(3))
             for lo, hi in pieces(offsets, PIECE_BYTES):
                 n = hi - lo
-                prints, keys = np.zeros((n, WIDE), np.uint64), [np.zeros(0, np.uint64)] * n
+                prints, keys = np.zeros((n, WIDE + len(TAILS)), np.uint64), [np.zeros(0, np.uint64)] * n
                 for d, hashes in _shingle_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], words):
-                    prints[d], keys[d] = _wide(np.unique(hashes))
+                    prints[d, :WIDE], keys[d], prints[d, WIDE:] = _wide(np.unique(hashes))
                 ends = np.cumsum([0, *map(len, keys)])
                 listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys).view(np.int64)))
-                longs = [pa.array(np.ascontiguousarray(prints[:, k]).view(np.int64)) for k in range(WIDE)]
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, n) for c in batch.columns[:3]), *longs, listed], names=["file", "row", "doc_id", *WORDS, "blocks"])
+                longs = [pa.array(np.ascontiguousarray(prints[:, k]).view(np.int64)) for k in range(WIDE + len(TAILS))]
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, n) for c in batch.columns[:3]), *longs, listed], names=["file", "row", "doc_id", *WORDS, *TAILS, "blocks"])
         release()
 
-    longs = [T.StructField(n, T.LongType()) for n in ("file", "row", *WORDS)]
+    longs = [T.StructField(n, T.LongType()) for n in ("file", "row", *WORDS, *TAILS)]
     schema = T.StructType([*longs[:2], T.StructField("doc_id", docs.schema["doc_id"].dataType), *longs[2:], T.StructField("blocks", T.ArrayType(T.LongType()))])
     return docs.select("file", "row", "doc_id", "text").mapInArrow(make, schema)
 
 
 def _near_words(a, b):
-    return sum((F.bit_count(a(w).bitwiseXOR(b(w))) for w in WORDS), F.lit(0)) <= LOOSE_BITS
+    bits = sum((F.bit_count(a(w).bitwiseXOR(b(w))) for w in WORDS), F.lit(0))
+
+    def differing(name: str):
+        """How many of sixteen groups of four bits differ."""
+        x = a(name).bitwiseXOR(b(name))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111)))
+
+    tails = sum((differing(t) for t in TAILS), F.lit(0))
+    return (bits <= LOOSE_BITS) & (BIT_WEIGHT * bits + HASH_WEIGHT * tails <= LIMIT)
 
 
 def shingle_sets(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
@@ -211,7 +227,9 @@ def similar_components(prints: DataFrame, texts: DataFrame, words: int = SHINGLE
         shared, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
         return both.where((1 + least) * shared + 1e-9 >= least * total).select("a", "b")
 
-    return near_components(keyed, _near_words, verify, items=prints.select("id", *WORDS), label="similar")
+    # a pair is made under the least of the blocks that it shares
+    once = lambda a, b: F.col("key") == F.array_min(F.array_intersect(a("blocks"), b("blocks")))
+    return near_components(keyed, _near_words, verify, items=prints.select("id", *WORDS, *TAILS, "blocks"), label="similar", once=once)
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
