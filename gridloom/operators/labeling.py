@@ -50,7 +50,7 @@ def deviations(beside: DataFrame) -> DataFrame:
 
 def examples(found: DataFrame, beside: DataFrame, shape: Column) -> DataFrame:
     """Per block: what the classifier sees. ``shape``: the base shape, from ground truth or guessed from the pattern."""
-    out = found.drop("left", "right").join(deviations(beside), B.BLOCK, "left").withColumn("base_shape", shape)
+    out = found.drop("left", "right", "first_refs", "last_refs").join(deviations(beside), B.BLOCK, "left").withColumn("base_shape", shape)
     lines = F.transform(F.coalesce("deviations", F.array().cast("array<struct<cell:string,kind:string,side:string>>")), lambda d: F.concat(F.lit("  - "), d["cell"], F.lit(" ("), d["kind"], F.lit(", "), d["side"], F.lit(")")))
     rest = F.when(F.size(lines) == 0, F.array(F.lit("Deviations: none"))).otherwise(F.concat(F.array(F.lit("Deviations:")), lines))
     head = F.array(

@@ -32,11 +32,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _analysis(spark: SparkSession, sf_dir: str) -> R.Analysis:
-    return R.analyze(tabular.grid(spark, sf_dir))
+    return R.analyze_alike(tabular.grid(spark, sf_dir))
 
 
 def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.issues(_analysis(spark, sf_dir)).persist()
+    return R.issues(_analysis(spark, sf_dir))
 
 
 # sources -------------------------------------------------------------------------------------------------

@@ -67,7 +67,7 @@ def build(analysis: R.Analysis, workbook: str, model=None, call=None, chosen=Non
     if call is not None and model is None:
         raise ValueError("tier 2 reviews what tier 1 leaves: it needs tier 1")
     own = lambda df: df.where(F.col("workbook") == workbook)
-    a = R.Analysis(own(analysis.compiled), own(analysis.blocks), own(analysis.neighbors), own(analysis.rectangles), own(analysis.unresolved))
+    a = R.Analysis(own(analysis.compiled), own(analysis.blocks), own(analysis.neighbors), own(analysis.rectangles), own(analysis.unresolved), None if analysis.names is None else own(analysis.names), None if analysis.filled is None else own(analysis.filled))
     issues, tier, caveat, cut = R.issues(a, chosen), "Tier 0", [CAVEAT], []
     if model is not None:
         try:
