@@ -7,6 +7,7 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from . import blocks as B
 
 LABELS = ("subtotal", "intentional_override", "suspected_error", "unknown")
@@ -21,23 +22,42 @@ def candidates(found: DataFrame, beside: DataFrame) -> DataFrame:
     return own.unionByName(near)
 
 
-def labels(found: DataFrame, beside: DataFrame, truth: DataFrame, issues: DataFrame) -> DataFrame:
-    """Per block: label (null without a signal) and basis. The strongest signal wins, then the first candidate cell."""
-    known = truth.select(F.col("entry").alias("workbook"), "cell", "state", "rule_id")
+def _signals(truth: DataFrame, issues: DataFrame) -> DataFrame:
+    """Per sheet row the cells with a signal: workbook, sheet, row, and ``signals``, an array of struct(col, rank, label, basis)."""
+    rank = F.when(F.col("state") == "subtotal", 0).when(F.col("state") == "injected_bug", 1).when(F.col("state") == "ambiguous", 2).when(F.col("state") == "known_intentional", 3)
+    known = truth.select(F.col("entry").alias("workbook"), "cell", "state", "rule_id", rank.alias("rank")).where("rank IS NOT NULL")
     flagged = issues.select("workbook", "cell").distinct().withColumn("flagged", F.lit(True))
-    each = candidates(found, beside).join(known, ["workbook", "cell"], "left").join(flagged, ["workbook", "cell"], "left")
-    hit = F.col("flagged").isNotNull()
-    rank = (
-        F.when(F.col("state") == "subtotal", 0)
-        .when((F.col("state") == "injected_bug") & hit, 1)
-        .when((F.col("state") == "ambiguous") & hit, 2)
-        .when(F.col("state") == "known_intentional", 3)
-    )
-    label = F.when(rank == 0, "subtotal").when(rank == 1, "suspected_error").when(rank == 2, "unknown").when(rank == 3, "intentional_override")
-    basis = F.concat(F.col("state"), F.when(rank.isin(1, 2), F.concat(F.lit(":"), "rule_id")).otherwise(F.lit("")), F.lit("@"), F.col("cell"))
-    rows = each.withColumns({"rank": rank, "label": label, "basis": basis})
-    best = rows.groupBy(*B.BLOCK).agg(F.min(F.when(F.col("rank").isNotNull(), F.struct("rank", "ord", "label", "basis"))).alias("best"))
-    return best.select(*B.BLOCK, F.col("best.label").alias("label"), F.coalesce("best.basis", F.lit("no_ground_truth_signal")).alias("basis"))
+    each = known.join(flagged, ["workbook", "cell"], "left").where("rank IN (0, 3) OR flagged")
+    label = F.when(F.col("rank") == 0, "subtotal").when(F.col("rank") == 1, "suspected_error").when(F.col("rank") == 2, "unknown").otherwise("intentional_override")
+    basis = F.concat(F.col("state"), F.when(F.col("rank").isin(1, 2), F.concat(F.lit(":"), "rule_id")).otherwise(F.lit("")), F.lit("@"), F.col("cell"))
+    part = lambda k: F.regexp_extract("cell", r"(?s)^(.*)!([A-Z]{1,3})([1-9][0-9]{0,6})$", k)
+    each = each.where(part(2) != "").select("workbook", part(1).alias("sheet"), part(3).cast("int").alias("row"), F.struct(C.index_of(part(2)).alias("col"), "rank", label.alias("label"), basis.alias("basis")).alias("signal"))
+    return each.groupBy(*B.ROW).agg(F.collect_list("signal").alias("signals"))
+
+
+def _late(near_miss: Column) -> Column:
+    return F.when(near_miss, 2).otherwise(1)
+
+
+def labels(found: DataFrame, beside: DataFrame | None, truth: DataFrame, issues: DataFrame) -> DataFrame:
+    """Per block: label (null without a signal) and basis. The strongest signal wins, then the first candidate cell.
+
+    Only cells with a signal meet the blocks of their row, not each member of every block. Without ``beside`` the cells beside the blocks are read from ``found``.
+    """
+    late = "array<struct<col:int,late:int>>"
+    if beside is None:
+        near = lambda side: F.when(F.col(side).isNotNull(), F.struct(F.col(f"{side}.col").alias("col"), _late(B.is_near_miss(F.col("pattern"), F.col(f"{side}.pattern"), F.col(f"{side}.parse_error"))).alias("late")))
+        rows = found.select(*B.BLOCK, F.array_compact(F.array(near("left"), near("right"))).cast(late).alias("near"))
+    else:
+        near = beside.groupBy(*B.BLOCK).agg(F.collect_list(F.struct(F.col("n_col").alias("col"), _late(F.col("kind") == "near_miss").alias("late"))).cast(late).alias("near"))
+        rows = found.select(*B.BLOCK).join(near, B.BLOCK, "left").withColumn("near", F.coalesce("near", F.array().cast(late)))
+    rows = rows.join(_signals(truth, issues), B.ROW, "left")
+    item = lambda s, at: F.struct(s["rank"].alias("rank"), at.alias("ord"), s["label"].alias("label"), s["basis"].alias("basis"))
+    own = F.transform(F.filter("signals", lambda s: s["col"].between(F.col("c0"), F.col("c1"))), lambda s: item(s, s["col"].cast("long")))
+    aside = F.flatten(F.transform("near", lambda n: F.transform(F.filter("signals", lambda s: s["col"] == n["col"]), lambda s: item(s, F.lit(1_000_000).cast("long") * n["late"] + s["col"]))))
+    best = F.array_min(F.concat(own, aside))
+    rows = rows.select(*B.BLOCK, F.when(F.col("signals").isNotNull(), best).alias("best"))
+    return rows.select(*B.BLOCK, F.col("best.label").alias("label"), F.coalesce("best.basis", F.lit("no_ground_truth_signal")).alias("basis"))
 
 
 def deviations(beside: DataFrame) -> DataFrame:

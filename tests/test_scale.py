@@ -52,3 +52,9 @@ def test_more_formulas_than_are_broadcast(spark):
     columns = ["row", "col", "pattern", "refs", "parse_error", "empty"]
     want = sorted(K.compiled(cells).select(*columns).collect())
     assert sorted(K.compiled_apart(cells, few=3).select(*columns).collect()) == sorted(K.compiled_apart(cells).select(*columns).collect()) == want
+
+
+@pytest.mark.parametrize("name", ["lb_labels", "ml_suppression", "ev_rollups"])
+def test_nothing_is_kept(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryTableScan" not in plan
