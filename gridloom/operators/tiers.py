@@ -116,6 +116,13 @@ def suppressed_cells(found: DataFrame, beside: DataFrame, predicted: DataFrame)
     return labeling.candidates(found, beside).join(quiet, B.BLOCK, "left_semi").select("workbook", "cell").distinct()
 
 
+def suppressed_issue_cells(issues: DataFrame, predicted: DataFrame) -> DataFrame:
+    """Of ``suppressed_cells`` those with an issue. A flagged cell right beside a block is one of its neighbours, so blocks and issues meet by row, not by member."""
+    quiet = predicted.where(F.col("predicted").isin(*QUIET)).select(*B.ROW, "c0", "c1")
+    rows = issues.select(*B.ROW, "col", "cell").distinct().join(quiet, B.ROW)
+    return rows.where("col BETWEEN c0 - 1 AND c1 + 1").select("workbook", "cell").distinct()
+
+
 def split_issues(issues: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(issues that stay, issues on the suppressed cells)."""
     return issues.join(cells, ["workbook", "cell"], "left_anti"), issues.join(cells, ["workbook", "cell"], "left_semi")

@@ -14,6 +14,7 @@ from ..operators import graph as G
 from ..operators import labeling, scoring
 from ..operators import rules as R
 from ..operators import tiers as T
+from ..operators.tables import written
 from ..sources import corpus, schema, tabular, xlsx
 from . import evaluate
 from . import report as P
@@ -39,6 +40,11 @@ def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.issues(_analysis(spark, sf_dir))
 
 
+def _short(issues: DataFrame) -> DataFrame:
+    """Issues that are read more than once, written down without their texts."""
+    return written(issues.select("workbook", "sheet", "row", "col", "cell", "severity", "rule_id"))
+
+
 # sources -------------------------------------------------------------------------------------------------
 
 
@@ -315,32 +321,32 @@ def bk_labels(spark, sf_dir):
 
 # rules ---------------------------------------------------------------------------------------------------
 
-_SHORT = ["workbook", "cell", "severity"]
+_BRIEF = ["workbook", "cell", "severity"]
 
 
 @query
 def rl_literal(spark, sf_dir):
-    return R.literal_in_block(_analysis(spark, sf_dir)).select(*_SHORT, "explanation")
+    return R.literal_in_block(_analysis(spark, sf_dir)).select(*_BRIEF, "explanation")
 
 
 @query
 def rl_range_boundary(spark, sf_dir):
-    return R.range_boundary(_analysis(spark, sf_dir)).select(*_SHORT, "explanation")
+    return R.range_boundary(_analysis(spark, sf_dir)).select(*_BRIEF, "explanation")
 
 
 @query
 def rl_reference_to_blank(spark, sf_dir):
-    return R.reference_to_blank(_analysis(spark, sf_dir)).select(*_SHORT, "explanation")
+    return R.reference_to_blank(_analysis(spark, sf_dir)).select(*_BRIEF, "explanation")
 
 
 @query
 def rl_anchoring(spark, sf_dir):
-    return R.inconsistent_anchoring(_analysis(spark, sf_dir)).select(*_SHORT, "explanation")
+    return R.inconsistent_anchoring(_analysis(spark, sf_dir)).select(*_BRIEF, "explanation")
 
 
 @query
 def rl_all_issues(spark, sf_dir):
-    return _issues(spark, sf_dir).select(*_SHORT, "rule_id")
+    return _issues(spark, sf_dir).select(*_BRIEF, "rule_id")
 
 
 @query
@@ -390,7 +396,8 @@ def ev_false_negatives(spark, sf_dir):
 
 
 def _rollups(spark, sf_dir) -> DataFrame:
-    issues, truth, scored = _scored(spark, sf_dir)
+    issues, truth = _short(_issues(spark, sf_dir)), tabular.truth(spark, sf_dir)
+    scored = scoring.outcomes(issues, truth)
     return scoring.rollups(scoring.slices(scored), scoring.false_negatives(issues, truth), scoring.precision_at_k(scored))
 
 
@@ -444,8 +451,8 @@ def lb_corpus(spark, sf_dir):
 
 def _labelled(spark, sf_dir) -> tuple[R.Analysis, DataFrame, DataFrame]:
     a = _analysis(spark, sf_dir)
-    issues = R.issues(a).persist()
-    return a, labeling.labels(a.blocks, a.neighbors, tabular.truth(spark, sf_dir), issues).persist(), issues
+    issues = _short(R.issues(a))
+    return a, labeling.labels(a.blocks, None, tabular.truth(spark, sf_dir), issues), issues
 
 
 @query
@@ -472,9 +479,9 @@ def lb_split(spark, sf_dir):
 @query
 def ml_suppression(spark, sf_dir):
     """Issues that stay when blocks whose label is intentional_override count as predicted so."""
-    a, found, issues = _labelled(spark, sf_dir)
+    _, found, issues = _labelled(spark, sf_dir)
     predicted = found.withColumn("predicted", F.coalesce("label", F.lit("unknown")))
-    stays, gone = T.split_issues(issues, T.suppressed_cells(a.blocks, a.neighbors, predicted))
+    stays, gone = T.split_issues(issues, written(T.suppressed_issue_cells(issues, predicted)))
     mark = lambda df, v: df.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n")).withColumn("suppressed", F.lit(v))
     return mark(stays, False).unionByName(mark(gone, True))
 
