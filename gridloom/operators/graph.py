@@ -67,35 +67,43 @@ def resolved(refs: DataFrame, named: DataFrame | None) -> tuple[DataFrame, DataF
     return plain.unionByName(good), bad
 
 
-def expand(rows: DataFrame) -> DataFrame:
-    """A row per cell of each rectangle, row by row: p_sheet, p_row, p_col, ord, pos."""
+def expand(rows: DataFrame, deal: bool = True) -> DataFrame:
+    """A row per cell of each rectangle, row by row: p_sheet, p_row, p_col, ord, pos. Unless ``deal``, all of it is made where the rectangle is."""
     width = (F.col("c1") - F.col("c0") + 1).cast("long")
     step = F.greatest(F.lit(1), F.expr(f"{BAND_CELLS} div (c1 - c0 + 1)")).cast("int")
     small = (F.col("r1") - F.col("r0") + 1) * width <= BAND_CELLS
     bands = rows.where(~small).withColumn("b0", F.explode(F.sequence("r0", "r1", step))).withColumn("b1", F.least(F.col("b0") + step - 1, "r1"))
-    every = rows.where(small).select("*", F.col("r0").alias("b0"), F.col("r1").alias("b1")).unionByName(bands.repartition(*rows.columns, "b0"))
+    every = rows.select("*", F.col("r0").alias("b0"), F.col("r1").alias("b1"))
+    if deal:
+        every = every.where(small).unionByName(bands.repartition(*rows.columns, "b0"))
     each = every.withColumn("p_row", F.explode(F.sequence("b0", "b1"))).withColumn("p_col", F.explode(F.sequence("c0", "c1")))
     pos = (F.col("p_row") - F.col("r0")) * width + F.col("p_col") - F.col("c0")
     return each.select("workbook", *CELL, "p_sheet", "p_row", "p_col", "ord", pos.alias("pos"))
 
 
-def edges(compiled: DataFrame, named: DataFrame | None = None) -> DataFrame:
-    """Distinct edges: workbook, p_sheet, p_row, p_col (precedent), sheet, row, col (dependent), ord, pos (of the first use)."""
+def edges(compiled: DataFrame, named: DataFrame | None = None, deal: bool = True) -> DataFrame:
+    """Distinct edges: workbook, p_sheet, p_row, p_col (precedent), sheet, row, col (dependent), ord, pos (of the first use).
+
+    ``deal``: large ranges are dealt to the tasks. Without, edges of workbooks that are dealt by workbook stay there.
+    """
     rectangles, _ = resolved(references_of(compiled), named)
     key = ["workbook", "p_sheet", "p_row", "p_col", *CELL]
-    first = expand(rectangles).groupBy(*key).agg(F.min(F.struct("ord", "pos")).alias("first"))
+    first = expand(rectangles, deal).groupBy(*key).agg(F.min(F.struct("ord", "pos")).alias("first"))
     return first.select(*key, "first.ord", "first.pos")
 
 
 def nodes(compiled: DataFrame, found: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
     """Cells with a formula, ends of edges, and skipped cells: workbook, sheet, row, col, empty, parse_error."""
-    own = compiled.where("formula IS NOT NULL").select("workbook", *CELL)
-    ends = found.select("workbook", F.col("p_sheet").alias("sheet"), F.col("p_row").alias("row"), F.col("p_col").alias("col"))
-    every = own.unionByName(ends)
+    none = F.lit(None).cast("string")
+    facts = compiled.select("workbook", *CELL, F.col("formula").isNotNull().alias("node"), F.col("empty").alias("is_empty"), F.col("parse_error"))
+    named = lambda rows: rows.select("workbook", *CELL, F.lit(True).alias("node"), F.lit(None).cast("boolean").alias("is_empty"), none.alias("parse_error"))
+    # the ends that are dependents have a formula, and are among the cells
+    every = facts.unionByName(named(found.select("workbook", F.col("p_sheet").alias("sheet"), F.col("p_row").alias("row"), F.col("p_col").alias("col"))))
     if skipped is not None:
-        every = every.unionByName(skipped.select("workbook", *CELL).join(compiled.select("workbook", *CELL), ["workbook", *CELL], "left_anti"))
-    facts = compiled.select("workbook", *CELL, F.col("empty").alias("is_empty"), "parse_error")
-    return every.distinct().join(facts, ["workbook", *CELL], "left").select("workbook", *CELL, F.coalesce("is_empty", F.lit(True)).alias("empty"), "parse_error")
+        every = every.unionByName(named(skipped.select("workbook", *CELL).join(compiled.select("workbook", *CELL), ["workbook", *CELL], "left_anti")))
+    # one grouping instead of a join: cells dealt by workbook need no shuffle for it
+    each = every.groupBy("workbook", *CELL).agg(F.max("node").alias("node"), F.max("is_empty").alias("empty"), F.max("parse_error").alias("parse_error"))
+    return each.where("node").select("workbook", *CELL, F.coalesce("empty", F.lit(True)).alias("empty"), "parse_error")
 
 
 def precedents(found: DataFrame, workbook: str, sheet: str, row: int, col: int) -> DataFrame:

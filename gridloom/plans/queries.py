@@ -224,14 +224,14 @@ def fn_block_signature(spark, sf_dir):
 @query
 def gr_edges(spark, sf_dir):
     """Dependents of every cell."""
-    found = G.edges(K.compiled(tabular.grid(spark, sf_dir)))
+    found = G.edges(K.compiled_apart(tabular.grid(spark, sf_dir)), deal=False)
     return found.groupBy("workbook", "p_sheet", "p_row", "p_col").agg(F.count(F.lit(1)).alias("n_dependents"))
 
 
 @query
 def gr_precedents(spark, sf_dir):
     """Precedents of every formula, in order of use."""
-    found = G.edges(K.compiled(tabular.grid(spark, sf_dir)))
+    found = G.edges(K.compiled_apart(tabular.grid(spark, sf_dir)), deal=False)
     cell = C.address(F.col("p_row"), F.col("p_col"))
     listed = F.sort_array(F.collect_list(F.struct("ord", "pos", cell.alias("cell"))))
     return found.groupBy("workbook", "sheet", "row", "col").agg(F.array_join(F.transform(listed, lambda x: x["cell"]), ",").alias("precedents"))
@@ -239,8 +239,8 @@ def gr_precedents(spark, sf_dir):
 
 @query
 def gr_nodes_empty(spark, sf_dir):
-    compiled = K.compiled(tabular.grid(spark, sf_dir))
-    found = G.nodes(compiled, G.edges(compiled))
+    compiled = K.compiled_apart(tabular.grid(spark, sf_dir))
+    found = G.nodes(compiled, G.edges(compiled, deal=False))
     return found.groupBy("workbook", "sheet").agg(F.count(F.lit(1)).alias("n_nodes"), F.count(F.when(F.col("empty"), 1)).alias("n_empty"), F.count("parse_error").alias("n_errors"))
 
 

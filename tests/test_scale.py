@@ -58,3 +58,10 @@ def test_more_formulas_than_are_broadcast(spark):
 def test_nothing_is_kept(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "InMemoryTableScan" not in plan
+
+
+@pytest.mark.parametrize("name", ["gr_edges", "gr_precedents", "gr_nodes_empty"])
+def test_no_edge_is_shuffled(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
+    assert dealt and not [keys for keys in dealt if re.search(r"\b(row|col|p_row)#", keys)]
