@@ -65,3 +65,10 @@ def test_no_edge_is_shuffled(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     dealt = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
     assert dealt and not [keys for keys in dealt if re.search(r"\b(row|col|p_row)#", keys)]
+
+
+def test_blank_precedents_of_names(spark):
+    cells = _cells(spark, {(1, c): f"={'ABCDE'[c - 2]}1+rates" for c in (2, 3, 4, 5)}, [(1, 1), (9, 1)])
+    named = spark.createDataFrame([("w", "rates", "S!$A$9:$B$9", "workbook")], "workbook string, name string, refers_to string, scope string")
+    got = {r.col: r.blanks for r in R._blank_precedents(R.analyze(cells, named)).collect()}
+    assert got == {c: ["S!B9"] for c in (2, 3, 4, 5)}
