@@ -44,6 +44,9 @@ LOOSE_BITS = WIDE_BITS + 24
 BIT_WEIGHT, HASH_WEIGHT, LIMIT = 29, 54, 5050
 #: Longs of sixteen last four bits each.
 TAILS = [f"t{k}" for k in range(-(-24 * 7 // 16))]
+#: Longs with a bit per class of shingles, set if the text has an odd number of them. Two texts differ in at least as many shingles as in such bits,
+#: which excludes pairs without losing any.
+PARITIES = [f"p{k}" for k in range(16)]
 SIMILARITY = 0.8
 
 
@@ -141,6 +144,13 @@ def _mixed(hashes: np.ndarray, seeds: np.ndarray) -> np.ndarray:
 _SEEDS = np.random.default_rng(77).integers(1, 2**63, WIDE + BLOCKS * SAMPLE, dtype=np.uint64) | np.uint64(1)
 
 
+def _parities(hashes: np.ndarray) -> np.ndarray:
+    """Which classes of hashes hold an odd number of them, as bits of longs."""
+    classes = 64 * len(PARITIES)
+    odd = np.bincount((hashes % np.uint64(classes)).astype(np.int64), minlength=classes) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
 def _wide(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(the WIDE fingerprint words, the block keys, the last four bits of the sampled hashes) of a text's distinct shingle hashes."""
     counts, least = np.zeros((WIDE, 64), np.int64), np.full(BLOCKS * SAMPLE, 2**64 - 1, np.uint64)
@@ -159,28 +169,38 @@ def _wide(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def wide_fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """(file, row, doc_id, f0 ... f7, t0 ... t10, blocks) of rows(file, row, doc_id, text); no blocks for a text without words."""
+    """(file, row, doc_id, f0 ... f7, t0 ... t10, p0 ... p15, n, blocks) of rows(file, row, doc_id, text); n: distinct shingles; no blocks for a text without words."""
+    names = [*WORDS, *TAILS, *PARITIES, "n"]
+    tails, n_at = WIDE + len(TAILS), len(names) - 1
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = string_bytes(batch.column(3))
             for lo, hi in pieces(offsets, PIECE_BYTES):
                 n = hi - lo
-                prints, keys = np.zeros((n, WIDE + len(TAILS)), np.uint64), [np.zeros(0, np.uint64)] * n
+                prints, keys = np.zeros((n, len(names)), np.uint64), [np.zeros(0, np.uint64)] * n
                 for d, hashes in _shingle_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], words):
-                    prints[d, :WIDE], keys[d], prints[d, WIDE:] = _wide(np.unique(hashes))
+                    hashes = np.unique(hashes)
+                    prints[d, :WIDE], keys[d], prints[d, WIDE:tails] = _wide(hashes)
+                    prints[d, tails:n_at], prints[d, n_at] = _parities(hashes), len(hashes)
                 ends = np.cumsum([0, *map(len, keys)])
                 listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys).view(np.int64)))
-                longs = [pa.array(np.ascontiguousarray(prints[:, k]).view(np.int64)) for k in range(WIDE + len(TAILS))]
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, n) for c in batch.columns[:3]), *longs, listed], names=["file", "row", "doc_id", *WORDS, *TAILS, "blocks"])
+                longs = [pa.array(np.ascontiguousarray(prints[:, k]).view(np.int64)) for k in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, n) for c in batch.columns[:3]), *longs, listed], names=["file", "row", "doc_id", *names, "blocks"])
         release()
 
-    longs = [T.StructField(n, T.LongType()) for n in ("file", "row", *WORDS, *TAILS)]
+    longs = [T.StructField(n, T.LongType()) for n in ("file", "row", *names)]
     schema = T.StructType([*longs[:2], T.StructField("doc_id", docs.schema["doc_id"].dataType), *longs[2:], T.StructField("blocks", T.ArrayType(T.LongType()))])
     return docs.select("file", "row", "doc_id", "text").mapInArrow(make, schema)
 
 
-def _near_words(a, b):
+def _differing_shingles(a, b):
+    """No more than the shingles that one of two texts has and the other lacks."""
+    odd = sum((F.bit_count(a(p).bitwiseXOR(b(p))) for p in PARITIES), F.lit(0))
+    return F.greatest(odd.cast("long"), F.abs(a("n") - b("n")))
+
+
+def _near_words(a, b, least: float = SIMILARITY):
     bits = sum((F.bit_count(a(w).bitwiseXOR(b(w))) for w in WORDS), F.lit(0))
 
     def differing(name: str):
@@ -190,7 +210,9 @@ def _near_words(a, b):
         return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111)))
 
     tails = sum((differing(t) for t in TAILS), F.lit(0))
-    return (bits <= LOOSE_BITS) & (BIT_WEIGHT * bits + HASH_WEIGHT * tails <= LIMIT)
+    # of sets of n and m at a similarity of s, (n + m) (1 - s) / (1 + s) shingles differ
+    may = (1 + least) * _differing_shingles(a, b) <= (1 - least) * (a("n") + b("n")) + 1e-6
+    return may & (bits <= LOOSE_BITS) & (BIT_WEIGHT * bits + HASH_WEIGHT * tails <= LIMIT)
 
 
 def shingle_sets(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
@@ -229,7 +251,8 @@ def similar_components(prints: DataFrame, texts: DataFrame, words: int = SHINGLE
 
     # a pair is made under the least of the blocks that it shares
     once = lambda a, b: F.col("key") == F.array_min(F.array_intersect(a("blocks"), b("blocks")))
-    return near_components(keyed, _near_words, verify, items=prints.select("id", *WORDS, *TAILS, "blocks"), label="similar", once=once)
+    near = lambda a, b: _near_words(a, b, least)
+    return near_components(keyed, near, verify, items=prints.select("id", *WORDS, *TAILS, *PARITIES, "n", "blocks"), label="similar", once=once)
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE) -> DataFrame:

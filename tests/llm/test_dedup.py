@@ -341,3 +341,29 @@ def test_similar_documents_by_their_shingles(spark):
     kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept >= set(range(120)) and {1000 + i for i, copy in enumerate(copies) if not copy} <= kept
     assert len(kept & {1000 + i for i, copy in enumerate(copies) if copy}) <= 2
+
+
+def test_pairs_below_the_limit_are_told_by_their_fingerprints(spark):
+    """Of a large group at a similarity of some 0.72, hardly a pair goes on to have its shingles compared; no pair that reaches 0.8 is lost by the parities."""
+    rnd = random.Random(11)
+    base = [f"w{rnd.randrange(3000)}" for _ in range(300)]
+
+    def changed(edits):
+        words = list(base)
+        for at in rnd.sample(range(2, 298), edits):
+            words[at] = f"v{rnd.randrange(10**9)}"
+        return words
+
+    texts = [changed(6) for _ in range(60)] + [changed(2) for _ in range(30)]
+    sets = [{tuple(w[k : k + simhash.SHINGLE]) for k in range(len(w) - simhash.SHINGLE + 1)} for w in texts]
+    near = {(i, j) for i in range(90) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    rows = spark.createDataFrame([(0, i, i, " ".join(w)) for i, w in enumerate(texts)], "file long, row long, doc_id long, text string")
+    prints = simhash.wide_fingerprints(rows).cache()
+    pairs = prints.alias("a").join(prints.alias("b"), simhash.F.expr("a.row > b.row"))
+    side = lambda name: lambda c: simhash.F.col(f"{name}.{c}")
+    a, b = side("a"), side("b")
+    apart = pairs.select("a.row", "b.row", simhash._differing_shingles(a, b)).collect()
+    assert all(d <= len(sets[i] ^ sets[j]) for i, j, d in apart)
+    found = {tuple(r) for r in pairs.where(simhash._near_words(a, b)).select("a.row", "b.row").collect()}
+    assert len(near) > 400 and len(near - found) <= len(near) // 100
+    assert len({p for p in found - near if max(p) < 60}) < 50
