@@ -367,3 +367,17 @@ def test_pairs_below_the_limit_are_told_by_their_fingerprints(spark):
     found = {tuple(r) for r in pairs.where(simhash._near_words(a, b)).select("a.row", "b.row").collect()}
     assert len(near) > 400 and len(near - found) <= len(near) // 100
     assert len({p for p in found - near if max(p) < 60}) < 50
+
+
+def test_lines_that_share_a_crowded_block_alone(spark, monkeypatch):
+    """Lines of six words whose one common run is that of hundreds of others: no further run tells them from those."""
+    monkeypatch.setattr(linking, "CROWDED", 8)
+    rnd = random.Random(41)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    texts = []
+    for _ in range(120):
+        a, tail = word(), f"{word()} {word()}"
+        texts += [f"all rights reserved {a} {tail}", f"all rights reserved {word()} {tail}"]
+    first = {r.doc_id: r.keep_doc for r in L.line_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(first[k] // 2 == k // 2 for k in first), "unrelated lines stay apart"
+    assert sum(first[k] == first[k + 1] for k in range(0, len(texts), 2)) >= 0.8 * 120
