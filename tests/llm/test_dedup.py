@@ -381,3 +381,42 @@ def test_lines_that_share_a_crowded_block_alone(spark, monkeypatch):
     first = {r.doc_id: r.keep_doc for r in L.line_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert all(first[k] // 2 == k // 2 for k in first), "unrelated lines stay apart"
     assert sum(first[k] == first[k + 1] for k in range(0, len(texts), 2)) >= 0.8 * 120
+
+
+def test_parities_exclude_no_similar_lines(spark):
+    """Every pair at 0.8 or more passes the test of parities; of lines that share half of their words, few do."""
+    rnd = random.Random(43)
+    texts = []
+    for n in (5, 10, 25, 60, 120):
+        for _ in range(40):
+            a = [f"w{rnd.randrange(3000)}" for _ in range(n)]
+            texts += [a, edited(rnd, a, max(1, n // 5)), a[: n - n // 2] + [f"v{rnd.randrange(10**6)}" for _ in range(n // 2)]]
+    texts = [" ".join(t) for t in texts]
+    prints = {r.doc_id: r for r in L.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id").collect()}
+    odd = lambda i, j: sum(((prints[i][c] ^ prints[j][c]) & (1 << 64) - 1).bit_count() for c in L.ODD)
+    most = lambda i, j: 2 * int(0.2 * max(prints[i].n, prints[j].n) + 1e-9) - abs(prints[i].n - prints[j].n)
+    for k in range(0, len(texts), 3):
+        if edit_similarity(texts[k], texts[k + 1]) >= 0.8:
+            assert odd(k, k + 1) <= most(k, k + 1)
+    assert sum(odd(k, k + 2) <= most(k, k + 2) for k in range(0, len(texts), 3)) <= 0.2 * len(texts) / 3
+
+
+def test_pairs_made_of_crowded_line_blocks(spark, monkeypatch):
+    """Lines with a phrase in common, and a group of near copies: few pairs are made that aren't linked, and no link is lost."""
+    monkeypatch.setattr(linking, "CROWDED", 16)
+    made, write = {}, linking.materialize
+
+    def counted(df, label, keep=False):
+        out = write(df, label, keep)
+        made[label] = out.count()
+        return out
+
+    monkeypatch.setattr(linking, "materialize", counted)
+    rnd = random.Random(47)
+    common, base = "all rights reserved by the owner of this text and of what follows it", [f"w{k}" for k in range(40)]
+    texts = [f"{common} " + " ".join(f"w{rnd.randrange(3000)}" for _ in range(10)) for _ in range(200)]
+    texts += [" ".join(edited(rnd, base, 3)) for _ in range(200)]
+    found = {(r.doc_id, r.keep_doc) for r in L.line_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = {w[:1] + w[2:3] for w in line_groups_by_brute_force(texts, lambda a, b: edit_similarity(a, b) >= 0.8 - 1e-9)}
+    assert len(found ^ want) <= 0.02 * len(texts)
+    assert made["near-lines-rest"] <= 2 * len(texts), made["near-lines-rest"]
